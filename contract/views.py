@@ -25,7 +25,7 @@ class Dialect:
     idiv: Callable[[str, str], str]
     struct: Callable[..., str]
     array: Callable[..., str]
-    string_array: str
+    explode: Callable[..., str]
 
 
 SPARK = Dialect(
@@ -34,7 +34,7 @@ SPARK = Dialect(
     idiv=lambda a, b: f"(({a}) div ({b}))",
     struct=lambda **f: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in f.items()) + ")",
     array=lambda *e: "array(" + ", ".join(e) + ")",
-    string_array="array<string>",
+    explode=lambda *e: "explode(array(" + ", ".join(e) + "))",
 )
 DUCKDB = Dialect(
     us=lambda e: f"epoch_us({e})",
@@ -42,7 +42,7 @@ DUCKDB = Dialect(
     idiv=lambda a, b: f"(({a}) // ({b}))",
     struct=lambda **f: "struct_pack(" + ", ".join(f"{k} := {v}" for k, v in f.items()) + ")",
     array=lambda *e: "[" + ", ".join(e) + "]",
-    string_array="VARCHAR[]",
+    explode=lambda *e: "unnest([" + ", ".join(e) + "])",
 )
 
 NL = "chr(10)"
@@ -122,10 +122,9 @@ def run_commits(d: Dialect) -> str:
     """Head commit of a run, and for merges the two commits before it."""
     number = "CAST(substring(head_sha, 2) AS BIGINT)"
     return f"""
-SELECT r.repository, r.run_id, 'c' || {text('r.n - b.back')} AS sha
-FROM (SELECT repository, run_id, {number} AS n FROM {{runs}}) r
-JOIN (SELECT 0 AS back UNION ALL SELECT 5 UNION ALL SELECT 10) b
-  ON b.back = 0 OR (r.n % 3 = 0 AND r.n >= b.back)"""
+SELECT repository, run_id, 'c' || {text('n - back')} AS sha
+FROM (SELECT repository, run_id, {number} AS n, {d.explode('0', '5', '10')} AS back FROM {{runs}}) r
+WHERE back = 0 OR (n % 3 = 0 AND n >= back)"""
 
 
 def commit_files(d: Dialect) -> str:
@@ -275,9 +274,12 @@ def file_contents(d: Dialect) -> str:
     keep = {"pom.xml": "o_orderkey % 10 < 7", "build.gradle": "o_orderkey % 3 > 0", "build.gradle.kts": "o_orderkey % 4 = 0",
             "requirements.txt": "o_orderkey % 4 > 0", "package.json": "o_orderkey % 8 > 1", "Gemfile": "o_orderkey % 6 > 2",
             "composer.json": "o_orderkey % 9 > 3"}
+    body = "CASE path " + " ".join(f"WHEN '{path}' THEN {b}" for path, b in parts) + " END"
+    kept = "CASE path " + " ".join(f"WHEN '{path}' THEN {condition}" for path, condition in keep.items()) + " END"
+    paths = d.explode(*[f"'{path}'" for path, _ in parts])
     selects = [
-        f"SELECT {repository('o_orderkey')} AS repository, 'c' || {text('o_orderkey')} AS sha, '{path}' AS path, {body} AS content FROM {{orders}} WHERE {keep[path]}"
-        for path, body in parts
+        f"SELECT {repository('o_orderkey')} AS repository, 'c' || {text('o_orderkey')} AS sha, path, {body} AS content"
+        f" FROM (SELECT o_orderkey, o_custkey, {paths} AS path FROM {{orders}}) o WHERE {kept}"
     ]
     selects.append(
         f"SELECT {repository('doc_id')} AS repository, 'c' || {text('doc_id')} AS sha,"
@@ -332,23 +334,24 @@ FROM {{lineitem}}"""
 
 def java_symbols(d: Dialect) -> str:
     """Symbols of Java files; the files are the changed .java files of the commit and of its child."""
+    kinds = ["class", "class", "method", "method", "method", "field", "field", "import", "import"]
+    entries = [d.struct(kind=f"'{k}'", p=str(i)) for i, k in enumerate(kinds, 1)]
+    number = "CAST(substring(sha, 2) AS BIGINT)"
     return f"""
-SELECT f.repository, f.sha, f.path, s.kind,
-  CASE WHEN s.kind IN ('method', 'field') THEN 'C' || {text('f.h % 2')} END AS class_name,
-  CASE s.kind WHEN 'class' THEN 'C' || {text('(f.h + s.p % 2 * f.h) % 3')} WHEN 'import' THEN 'i.' || {text('(f.h + s.p) % 4')}
-    ELSE 'm' || {text('(f.h * s.p) % 5')} END AS name,
-  '(' || {text('f.h % 3')} || ')' AS signature, 'b' || {text('(f.h + s.p) % 4')} AS body_hash,
-  CAST(s.p AS INT) AS position
-FROM (
-  SELECT DISTINCT repository, sha, filename AS path, CAST(substring(sha, 2) AS BIGINT) * 7 + length(filename) AS h
-  FROM {{commit_files}} WHERE filename LIKE '%.java'
-  UNION
-  SELECT DISTINCT repository, 'c' || {text('CAST(substring(sha, 2) AS BIGINT) - 5')}, filename, (CAST(substring(sha, 2) AS BIGINT) - 5) * 7 + length(filename)
-  FROM {{commit_files}} WHERE filename LIKE '%.java' AND CAST(substring(sha, 2) AS BIGINT) % 4 <> 1
-) f
-JOIN (SELECT 'class' AS kind, 1 AS p UNION ALL SELECT 'class', 2 UNION ALL SELECT 'method', 3 UNION ALL SELECT 'method', 4
-  UNION ALL SELECT 'method', 5 UNION ALL SELECT 'field', 6 UNION ALL SELECT 'field', 7 UNION ALL SELECT 'import', 8 UNION ALL SELECT 'import', 9) s
-  ON f.h % s.p <> 1"""
+SELECT repository, sha, path, kind,
+  CASE WHEN kind IN ('method', 'field') THEN 'C' || {text('h % 2')} END AS class_name,
+  CASE kind WHEN 'class' THEN 'C' || {text('(h + p % 2 * h) % 3')} WHEN 'import' THEN 'i.' || {text('(h + p) % 4')}
+    ELSE 'm' || {text('(h * p) % 5')} END AS name,
+  '(' || {text('h % 3')} || ')' AS signature, 'b' || {text('(h + p) % 4')} AS body_hash, CAST(p AS INT) AS position
+FROM (SELECT repository, sha, path, h, e.kind AS kind, e.p AS p FROM (
+  SELECT repository, sha, path, h, {d.explode(*entries)} AS e FROM (
+    SELECT repository, sha, filename AS path, {number} * 7 + length(filename) AS h
+    FROM {{commit_files}} WHERE filename LIKE '%.java'
+    UNION
+    SELECT repository, 'c' || {text(number + ' - 5')}, filename, ({number} - 5) * 7 + length(filename)
+    FROM {{commit_files}} WHERE filename LIKE '%.java' AND {number} % 4 <> 1
+  ) f) g) s
+WHERE h % p <> 1"""
 
 
 def tasks(d: Dialect) -> str:

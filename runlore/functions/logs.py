@@ -75,18 +75,19 @@ def actions_used(text: Column) -> Column:
 
 
 def last_mentions(mentions: Column) -> Column:
-    # number the mentions, then keep an entry when no later one names the same action
+    # Sorted by action, the latest mention of an action comes first; the fold keeps that one. The
+    # sorted array is named once, so it is made once per log and not once per mention.
     numbered = F.transform(
         mentions, lambda m, i: F.struct(m["action"].alias("action"), (-i).alias("back"), m["sha"].alias("sha"))
     )
-    ordered = F.array_sort(numbered)
-    return F.transform(
-        F.filter(
-            ordered,
-            lambda m, i: (i == 0) | (m["action"] != F.get(ordered, i - 1)["action"]),
-        ),
-        lambda m: F.struct(m["action"].alias("action"), m["sha"].alias("sha")),
-    )
+    empty = F.array().cast("array<struct<action:string,sha:string>>")
+
+    def add(kept: Column, m: Column) -> Column:
+        seen = F.try_element_at(kept, F.lit(-1))["action"].eqNullSafe(m["action"])
+        entry = F.struct(m["action"].alias("action"), m["sha"].alias("sha"))
+        return F.when(seen, kept).otherwise(F.concat(kept, F.array(entry)))
+
+    return F.aggregate(F.array_sort(numbered), empty, add)
 
 
 def action_name(action: Column) -> Column:

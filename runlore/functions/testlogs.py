@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Result lines of the test frameworks.
@@ -87,10 +87,13 @@ def _line_results(text: Column, framework: str) -> Column:
 
 
 def _summed(results: Column) -> Column:
-    def add(name: str) -> Column:
-        return F.aggregate(results, F.lit(0).cast("bigint"), lambda s, r: s + r[name]).alias(name)
-
-    return F.struct(add("passed"), add("failed"), add("skipped"))
+    # one fold over the lines: naming ``results`` once keeps the regex from running once per column
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in ("passed", "failed", "skipped")])
+    return F.aggregate(
+        results,
+        zero,
+        lambda s, r: F.struct(*[(s[n] + r[n]).alias(n) for n in ("passed", "failed", "skipped")]),
+    )
 
 
 def _pytest(text: Column) -> Column:
@@ -145,3 +148,10 @@ def results_by_parser(text: Column) -> Column:
         entries, lambda e: e["value"]["passed"] + e["value"]["failed"] + e["value"]["skipped"] > 0
     )
     return F.map_from_entries(counted)
+
+
+def test_facts(job_logs: DataFrame) -> DataFrame:
+    """Results by parser of each log: repository, job_id, results."""
+    # the cleaned text is a step of its own, so that it is made once for all patterns
+    cleaned = job_logs.select("repository", "job_id", strip_escapes(F.col("log")).alias("__text"))
+    return cleaned.select("repository", "job_id", results_by_parser(F.col("__text")).alias("results"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlore.functions.errors import clean_log, error_reason, strip_stamps
+from runlore.functions.errors import error_reason, strip_colors, strip_stamps
 from runlore.functions.logs import (
     action_name,
     actions_used,
@@ -86,7 +86,8 @@ def log_facts(job_logs: DataFrame) -> DataFrame:
     """
     return (
         job_logs.filter(truthy(F.col("log")))
-        .withColumns({"__plain": strip_stamps(F.col("log")), "__text": clean_log(F.col("log"))})
+        .withColumn("__plain", strip_stamps(F.col("log")))
+        .withColumn("__text", strip_colors(F.col("__plain")))
         .select(
             *JOB_KEY,
             error_reason(F.col("log"), F.col("__text")).alias("error_reason"),
@@ -187,7 +188,10 @@ def changes_since_previous(facts: DataFrame, previous: DataFrame) -> DataFrame:
 
 def job_actions(facts: DataFrame) -> DataFrame:
     """One row per job and action."""
-    return facts.select(*JOB_KEY, F.explode("actions").alias("a")).select(*JOB_KEY, "a.action", "a.sha")
+    # a plain explode adds a filter on the array's size, which would move below the facts and read
+    # every log twice; the outer form with a filter on its result does not
+    used = facts.select(*JOB_KEY, F.explode_outer("actions").alias("a")).filter(F.col("a").isNotNull())
+    return used.select(*JOB_KEY, "a.action", "a.sha")
 
 
 def action_flags(facts: DataFrame, repositories: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def detected_frameworks(repo_files: DataFrame, contents: DataFrame) -> DataFrame
     declared = (
         _root_contents(repo_files, contents, manifests)
         .filter(truthy(F.col("content")))
-        .select("repository", F.explode(declared_frameworks(F.col("content"), F.col("path"))).alias("f"))
+        .select("repository", F.explode_outer(declared_frameworks(F.col("content"), F.col("path"))).alias("f"))
+        .filter(F.col("f").isNotNull())
     )
     found = declared.groupBy("repository").agg(F.array_sort(F.collect_set("f")).alias("f"))
     return found.select("repository", F.col("f.framework").alias("test_frameworks"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore import schemas
-from runlore.functions.testlogs import parser_name, results_by_parser, strip_escapes
+from runlore.functions.testlogs import parser_name, test_facts
 from runlore.operators import changes, commits, people, repositories, runs, slices
 from runlore.operators.runs import RUN_KEY
 from runlore.plans.settings import Settings
@@ -34,10 +34,10 @@ def repository_facts(tables: Tables) -> DataFrame:
 def test_totals(selected: DataFrame, jobs: DataFrame, job_logs: DataFrame, facts: DataFrame) -> DataFrame:
     """Test results of each run: its job logs read with the parser of the first framework found.
 
-    Each log is read once and only the counts of the parsers that matched leave the scan.
+    Each log is read once and only the counts of the parsers that matched leave the scan. There is
+    no filter on those counts: it would move below them and read the logs a second time.
     """
-    read = job_logs.select("repository", "job_id", results_by_parser(strip_escapes(F.col("log"))).alias("__found"))
-    read = read.filter(F.size("__found") > 0)
+    read = test_facts(job_logs).withColumnRenamed("results", "__found")
     parsers = facts.select(
         "repository", parser_name(F.get("test_frameworks", F.lit(0)), F.col("build_language")).alias("__parser")
     )
