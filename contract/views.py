@@ -17,6 +17,8 @@ DRIVER_TABLES = (
     " benchmark labels conversations"
 ).split()
 
+SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -254,8 +256,8 @@ def workflows(d: Dialect) -> str:
     return f"""
 SELECT {repository('n_nationkey')} AS repository, CAST(n_nationkey % 6 AS BIGINT) AS id,
   'Workflow ' || n_name AS name, '.github/workflows/w' || {text('n_nationkey % 6')} || '.yml' AS path,
-  CAST(n_nationkey AS INT) AS list_pos
-FROM (SELECT n_nationkey, n_name FROM {{nation}} UNION ALL SELECT s_suppkey, s_name FROM {{supplier}}) n"""
+  CAST(n_nationkey * 2 + source AS INT) AS list_pos
+FROM (SELECT n_nationkey, n_name, 0 AS source FROM {{nation}} UNION ALL SELECT s_suppkey, s_name, 1 FROM {{supplier}}) n"""
 
 
 def file_contents(d: Dialect) -> str:
@@ -384,7 +386,12 @@ def references(sql: str) -> list[str]:
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or a view over them, as a Spark DataFrame."""
     if name in DRIVER_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # a table in one small file is one task; spread its rows before texts are built from them
+        cores = spark.sparkContext.defaultParallelism
+        if name in SPREAD and len(table.inputFiles()) < cores:
+            table = table.repartition(cores, SPREAD[name])
+        return table
     sql = VIEWS[name](SPARK)
     return spark.sql(sql, **{r: spark_view(spark, sf_dir, r) for r in references(sql)})
 
