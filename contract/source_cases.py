@@ -210,7 +210,7 @@ def _(t: Tables):
 
 
 @case("a11_runs_from_payload", """
-SELECT repository, run_id, workflow_id, head_sha, conclusion, run_attempt, CAST(epoch_us(date_trunc('second', created_at)) AS BIGINT) AS created_at, actor.login AS actor_login, actor.id AS actor_id
+SELECT repository, run_id, workflow_id, head_sha, conclusion, CAST(run_attempt AS BIGINT) AS run_attempt, CAST(epoch_us(date_trunc('second', created_at)) AS BIGINT) AS created_at, actor.login AS actor_login, actor.id AS actor_id
 FROM {runs}""")
 def _(t: Tables):
     seconds = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
