@@ -133,12 +133,12 @@ def ci_config_churn(
         {"files": F.col("__files")},
         dated.select("repository", "__day").distinct().withColumn("__probe", F.col("__day")),
         {"hi": (F.col("__probe"), True), "lo": (F.col("__probe") - 7 * weeks, False)},
-        keys=["repository"],
+        levels={"all": ["repository"]},
         ids=["repository", "__day"],
         at="__day",
         cuts=cuts,
         target_rows=target_rows,
-    ).withColumn("__churn", F.col("hi_files") - F.col("lo_files"))
+    ).withColumn("__churn", F.col("hi_all_files") - F.col("lo_all_files"))
     return (
         runs.select(*RUN_KEY)
         .join(dated.join(counted, ["repository", "__day"]).select(*RUN_KEY, "__churn"), RUN_KEY, "left")

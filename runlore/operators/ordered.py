@@ -125,6 +125,14 @@ def _sliced(df: DataFrame, cuts: Cuts) -> DataFrame:
     )
 
 
+def _spread(sliced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exchange by slice even if the rows already lie by some of the keys.
+
+    A partitioning by fewer keys would satisfy the window as well, with all slices in one task.
+    """
+    return sliced.repartition(*keys, _SLICE)
+
+
 def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join the carry table; it has one row per slice of a hot group, so it may be broadcast."""
     pairs = [(k, f"__c{i}") for i, k in enumerate(keys)] + [(_SLICE, "__cslice")]
@@ -161,7 +169,7 @@ def running_sums(
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.coalesce(F.sum(e).over(upto), F.lit(0)) for n, e in sums.items()})
 
-    sliced = _sliced(df, cuts)
+    sliced = _spread(_sliced(df, cuts), keys)
     upto = (
         Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -201,7 +209,7 @@ def previous_row(
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.lag(payload).over(w))
 
-    sliced = _sliced(df, cuts)
+    sliced = _spread(_sliced(df, cuts), keys)
     w = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     local = sliced.withColumn(name, F.lag(payload).over(w))
     last = (
@@ -224,7 +232,7 @@ def asof_sums(
     probes: DataFrame,
     points: Mapping[str, tuple[Column, bool]],
     *,
-    keys: Sequence[str],
+    levels: Mapping[str, Sequence[str]],
     ids: Sequence[str],
     at: str,
     cuts: Cuts | None = None,
@@ -232,67 +240,69 @@ def asof_sums(
 ) -> DataFrame:
     """Running totals of one table, read at the points in time of another.
 
-    ``points`` maps a tag to (time in microseconds, whether events at that very time count). The
-    result has one row per probe: its ``ids`` and a ``<tag>_<measure>`` column per pair. Events and
-    probes share one sorted pass; there is no range join, so a busy key costs no pair blow-up.
+    ``levels`` names the groupings that are totalled, ``points`` the times at which a probe reads
+    them: a tag, the time in microseconds, and whether events at that very time count. The result
+    has one row per probe: its ``ids`` and a ``<tag>_<level>_<measure>`` column per combination.
+
+    Events and probes share one sorted pass per level. Every frame starts at the beginning of its
+    group, so a row costs the same however many rows lie before it; a sliding range frame would
+    walk its whole window again for each row. There is no range join and thus no pair blow-up.
     """
-    zero = {m: F.lit(0).cast("long").alias(m) for m in measures}
-    tie = F.xxhash64(*[F.col(c) for c in ids])
+    keys = list(dict.fromkeys(k for group in levels.values() for k in group))
+    id_types = {c: probes.schema[c].dataType for c in ids}
     event_rows = events.select(
         *keys,
         F.col(at).cast("long").alias("__at"),
         F.lit(1).alias("__kind"),
         F.xxhash64(*events.columns).alias("__tie"),
         F.lit(None).cast("string").alias("__tag"),
-        *[e.cast("long").alias(m) for m, e in measures.items()],
-        *[F.lit(None).cast(probes.schema[c].dataType).alias(f"__id_{c}") for c in ids],
+        *[e.cast("long").alias(f"__m_{m}") for m, e in measures.items()],
+        *[F.lit(None).cast(id_types[c]).alias(f"__id_{c}") for c in ids],
     )
     # at one instant: 0 = probe that leaves the instant out, 1 = event, 2 = probe that counts it
+    moments = [
+        F.struct(
+            F.lit(tag).alias("__tag"),
+            when.cast("long").alias("__at"),
+            F.lit(2 if closed else 0).alias("__kind"),
+        )
+        for tag, (when, closed) in points.items()
+    ]
     point_rows = probes.select(
         *keys,
         *[F.col(c).alias(f"__id_{c}") for c in ids],
-        tie.alias("__tie"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(tag).alias("__tag"),
-                        when.cast("long").alias("__at"),
-                        F.lit(2 if closed else 0).alias("__kind"),
-                    )
-                    for tag, (when, closed) in points.items()
-                ]
-            )
-        ).alias("__p"),
+        F.xxhash64(*ids).alias("__tie"),
+        F.explode(F.array(*moments)).alias("__p"),
     ).select(
         *keys,
         "__p.__at",
         "__p.__kind",
         "__tie",
         "__p.__tag",
-        *zero.values(),
+        *[F.lit(0).cast("long").alias(f"__m_{m}") for m in measures],
         *[f"__id_{c}" for c in ids],
     )
-    timeline = event_rows.unionByName(point_rows)
-    summed = running_sums(
-        timeline,
-        keys,
-        ["__at", "__kind", "__tie"],
-        {f"__r_{m}": F.col(m) for m in measures},
-        cuts=cuts,
-        target_rows=target_rows,
-    )
+    summed = event_rows.unionByName(point_rows)
+    order = ["__at", "__kind", "__tie"]
+    timeline, calm = summed, []
+    for level, group in levels.items():
+        # a finer grouping has no hot group where a coarser one has none
+        known = NO_CUTS if any(set(c) <= set(group) for c in calm) else cuts
+        level_cuts = _resolve(timeline, group, order, known, target_rows)
+        if not level_cuts.any:
+            calm.append(group)
+        sums = {f"__r_{level}_{m}": F.col(f"__m_{m}") for m in measures}
+        summed = running_sums(summed, group, order, sums, cuts=level_cuts)
+    read = {
+        f"{tag}_{level}_{m}": F.max(F.when(F.col("__tag") == tag, F.col(f"__r_{level}_{m}")))
+        for tag in points
+        for level in levels
+        for m in measures
+    }
     return (
         summed.filter(F.col("__tag").isNotNull())
-        .groupBy(*[f"__id_{c}" for c in ids])
-        .agg(
-            *[
-                F.max(F.when(F.col("__tag") == tag, F.col(f"__r_{m}"))).alias(f"{tag}_{m}")
-                for tag in points
-                for m in measures
-            ]
-        )
-        .select(*[F.col(f"__id_{c}").alias(c) for c in ids], *[f"{t}_{m}" for t in points for m in measures])
+        .groupBy(*[F.col(f"__id_{c}").alias(c) for c in ids])
+        .agg(*[e.alias(n) for n, e in read.items()])
     )
 
 
@@ -301,40 +311,27 @@ def trailing_sums(
     measures: Mapping[str, Column],
     spans: Mapping[str, int],
     *,
-    keys: Sequence[str],
+    levels: Mapping[str, Sequence[str]],
     ids: Sequence[str],
     at: str,
+    whole: str | None = None,
     cuts: Cuts | None = None,
     target_rows: int | None = None,
 ) -> DataFrame:
-    """Add ``<tag>_<measure>``: the sum over the rows of the group in [at - span, at], ends included.
+    """Per row, sums over the rows of its groups in [at - span, at], both ends included.
 
-    ``ids`` must identify a row. Ordinary groups use a range frame; with hot groups the frame is the
-    difference of two running totals.
+    The result has the ``ids``, which must identify a row, and ``<span>_<level>_<measure>`` columns;
+    with ``whole``, also ``<whole>_<level>_<measure>`` over the entire group. Rows without a time are
+    counted by ``whole`` only and are missing from the result.
     """
-    cuts = _resolve(df, keys, [at, *ids], cuts, target_rows)
-    names = [f"{t}_{m}" for t in spans for m in measures]
-    if not cuts.any:
-        ranges = {
-            t: Window.partitionBy(*keys).orderBy(at).rangeBetween(-span, 0) for t, span in spans.items()
-        }
-        return df.withColumns(
-            {
-                f"{t}_{m}": F.coalesce(
-                    F.when(F.col(at).isNotNull(), F.sum(e.cast("long")).over(ranges[t])), F.lit(0)
-                )
-                for t in spans
-                for m, e in measures.items()
-            }
-        )
     points = {"hi": (F.col(at), True)} | {t: (F.col(at) - span, False) for t, span in spans.items()}
-    known = df.filter(F.col(at).isNotNull())
+    if whole:
+        points[whole] = (F.lit(2**62), True)
     sums = asof_sums(
-        known, measures, known, points, keys=keys, ids=ids, at=at, target_rows=target_rows
-    )
-    frames = sums.select(
-        *ids, *[(F.col(f"hi_{m}") - F.col(f"{t}_{m}")).alias(f"{t}_{m}") for t in spans for m in measures]
-    )
-    return df.join(frames, list(ids), "left").withColumns(
-        {n: F.coalesce(n, F.lit(0)) for n in names}
-    )
+        df, measures, df.filter(F.col(at).isNotNull()), points,
+        levels=levels, ids=ids, at=at, cuts=cuts, target_rows=target_rows,
+    )
+    names = [f"{level}_{m}" for level in levels for m in measures]
+    frames = [(F.col(f"hi_{n}") - F.col(f"{t}_{n}")).alias(f"{t}_{n}") for t in spans for n in names]
+    totals = [F.col(f"{whole}_{n}") for n in names] if whole else []
+    return sums.select(*ids, *frames, *totals)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlore.functions.values import WEEK, micros, seconds_between
 from runlore.operators.ordered import (
     NO_CUTS,
     Cuts,
-    find_cuts,
     has_hot_group,
     previous_row,
     running_sums,
@@ -144,49 +143,37 @@ def failure_history(
         raise ValueError("denominator must be 'context' or 'window'")
     spans = {"history": history_weeks * WEEK, "recent": recent_weeks * WEEK}
     narrow = with_actor(context).select(
-        *RUN_KEY, "actor_id", micros("created_at").alias("__at"), F.col("conclusion").eqNullSafe("failure").alias("__bad")
+        *RUN_KEY,
+        "actor_id",
+        micros("created_at").alias("__at"),
+        F.col("conclusion").eqNullSafe("failure").cast("int").alias("__bad"),
+    )
+    sums = trailing_sums(
+        narrow,
+        {"runs": F.lit(1), "failures": F.col("__bad")},
+        spans,
+        levels={"repo": ["repository"], "actor": ["repository", "actor_id"]},
+        ids=[*RUN_KEY, "__bad"],
+        at="__at",
+        whole="all",
+        cuts=cuts,
+        target_rows=target_rows,
     )
-    measures = {"runs": F.lit(1), "failures": F.col("__bad").cast("int")}
-    by_repository = cuts
-    if by_repository is None:
-        by_repository = find_cuts(narrow, ["repository"], ["__at", "run_id"], target_rows)
-
-    if by_repository.any:
-        totals = narrow.groupBy("repository").agg(F.count(F.lit(1)).alias("__total"))
-        rated = trailing_sums(
-            narrow, measures, spans, keys=["repository"], ids=RUN_KEY, at="__at",
-            cuts=by_repository, target_rows=target_rows,
-        ).join(totals, "repository")
-    else:
-        rated = trailing_sums(
-            narrow, measures, spans, keys=["repository"], ids=RUN_KEY, at="__at", cuts=NO_CUTS
-        ).withColumn("__total", F.count(F.lit(1)).over(Window.partitionBy("repository")))
-
-    renamed = rated.select(
-        *RUN_KEY, "actor_id", "__at", "__bad", "__total",
-        *[F.col(f"{t}_{m}").alias(f"__repo_{t}_{m}") for t in spans for m in measures],
-    )
-    # an actor's runs of one repository are never more than the repository's runs
-    both = trailing_sums(
-        renamed, measures, spans, keys=["repository", "actor_id"], ids=RUN_KEY, at="__at",
-        cuts=None if by_repository.any else NO_CUTS, target_rows=target_rows,
-    )
-
     own_run = F.lit(0) if include_current else F.lit(1)
-    own_failure = F.lit(0) if include_current else F.col("__bad").cast("int")
+    own_failure = F.lit(0) if include_current else F.col("__bad")
     columns = []
     for tag in spans:
-        failures = F.col(f"__repo_{tag}_failures") - own_failure
-        size = F.col("__total") if denominator == "context" else F.col(f"__repo_{tag}_runs") - own_run
+        failures = F.col(f"{tag}_repo_failures") - own_failure
+        size = F.col("all_repo_runs") if denominator == "context" else F.col(f"{tag}_repo_runs") - own_run
         rate = F.when(size > 0, failures / size).otherwise(F.lit(0.0))
-        n = F.col(f"{tag}_runs") - own_run
-        f = F.col(f"{tag}_failures") - own_failure
+        n = F.col(f"{tag}_actor_runs") - own_run
+        f = F.col(f"{tag}_actor_failures") - own_failure
         trust = F.when(n > 0, ((n - f) + PRIOR_WEIGHT * (1 - rate)) / (n + PRIOR_WEIGHT)).otherwise(F.lit(0.0))
         columns += [
             rate.alias(f"repo_fail_rate_{tag}"),
             trust.alias(f"gh_committer_bayesian_trust_score_{tag}"),
         ]
-    return both.select(*RUN_KEY, *columns)
+    return sums.select(*RUN_KEY, *columns)
 
 
 def workflow_names(runs: DataFrame, workflows: DataFrame) -> DataFrame:

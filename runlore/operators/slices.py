@@ -75,7 +75,7 @@ def repository_experience(
         {"commits": F.lit(1)},
         probes,
         {"hi": (F.col("__at"), True), "lo": (F.col("__at") - weeks * WEEK, False)},
-        keys=["repository", "login"],
+        levels={"all": ["repository", "login"]},
         ids=RUN_KEY,
         at="__at",
         cuts=cuts,
@@ -86,7 +86,7 @@ def repository_experience(
         .join(counted, RUN_KEY, "left")
         .select(
             *RUN_KEY,
-            F.coalesce(F.col("hi_commits") - F.col("lo_commits"), F.lit(0)).cast("long").alias("git_committer_repo_exp"),
+            F.coalesce(F.col("hi_all_commits") - F.col("lo_all_commits"), F.lit(0)).cast("long").alias("git_committer_repo_exp"),
         )
     )
 
@@ -190,14 +190,14 @@ def hotspot_touched(
         {"total": F.lit(1), "failures": F.col("__bad")},
         probes,
         {"hi": (F.col("__at"), True), "lo": (F.col("__at") - days * DAY, False)},
-        keys=["repository", "filename"],
+        levels={"all": ["repository", "filename"]},
         ids=[*RUN_KEY, "filename"],
         at="__at",
         cuts=cuts,
         target_rows=target_rows,
     )
-    total = F.col("hi_total") - F.col("lo_total")
-    failures = F.col("hi_failures") - F.col("lo_failures")
+    total = F.col("hi_all_total") - F.col("lo_all_total")
+    failures = F.col("hi_all_failures") - F.col("lo_all_failures")
     return (
         counted.filter(_hot(total, failures, min_total, min_rate))
         .select(*RUN_KEY)
