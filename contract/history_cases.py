@@ -103,6 +103,12 @@ def _(t: Tables):
     return runs.run_context(t["runs"], chosen, 1).select("repository", "run_id", "conclusion")
 
 
+@case("run_context_spread", CONTEXT)
+def _(t: Tables):
+    chosen = t["runs"].filter("conclusion = 'cancelled' and event = 'push'")
+    return runs.run_context(t["runs"], chosen, 1, spread=True).select("repository", "run_id", "conclusion")
+
+
 @case("c13_previous_run", PREVIOUS_RUN % "runs")
 def _(t: Tables):
     return runs.previous_run(t["runs"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from contract.case import Tables, case
@@ -114,7 +116,7 @@ def _found(pattern: str) -> str:
 
 _OS = f"trim({_found(logs.OPERATING_SYSTEM.replace('(?d)', ''))}, ' ' || chr(9) || chr(10) || chr(13))"
 _IMAGE = _found(logs.RUNNER_IMAGE.replace("(?d)", ""))
-_WARNINGS = " + ".join(f"len(regexp_extract_all(plain, {_quoted('(?i)' + m)}))" for m in logs.WARNING_MARKS)
+_WARNINGS = " + ".join(f"len(regexp_extract_all(plain, {_quoted('(?i)' + m)}))" for m in [re.escape(w) for w in logs.WARNING_MARKS])
 _RUNNER = f"CASE WHEN {_OS} IN ('Ubuntu', 'Windows', 'macOS') THEN 'gitHub-hosted runner' ELSE 'self-hosted runner' END"
 
 
@@ -144,7 +146,7 @@ def _(t: Tables):
 
 @case("e09_log_warnings", f"WITH l AS ({_CLEAN}) SELECT repository, job_id, {_WARNINGS} AS log_warn_nums FROM l")
 def _(t: Tables):
-    return _texts(t).select("repository", "job_id", logs.warning_count(F.col("plain")).alias("log_warn_nums"))
+    return _texts(t).select("repository", "job_id", logs.warning_count(F.lower("plain")).alias("log_warn_nums"))
 
 
 @case("e10_operating_system", f"WITH l AS ({_CLEAN}) SELECT repository, job_id, {_OS} AS operation_system, {_RUNNER} AS runner_type FROM l")

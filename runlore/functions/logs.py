@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ PACKAGED_ACTION = (
 )
 
 # What counts as a warning, whatever its case.
-WARNING_MARKS = [r"warning:", r"warn:", r"\[warn\]", r"\[warning\]", r"deprecated"]
+WARNING_MARKS = ["warning:", "warn:", "[warn]", "[warning]", "deprecated"]
 
 # Systems of hosted runners, and the two runner types.
 HOSTED_SYSTEMS = ["Ubuntu", "Windows", "macOS"]
@@ -43,9 +45,13 @@ def runner_type(system: Column) -> Column:
     return F.when(system.isin(HOSTED_SYSTEMS), HOSTED).otherwise(SELF_HOSTED)
 
 
-def warning_count(text: Column) -> Column:
-    counts = [F.regexp_count(text, F.lit("(?iu)" + mark)).cast("long") for mark in WARNING_MARKS]
-    return sum(counts[1:], counts[0])
+def warning_count(lowered: Column) -> Column:
+    """Warnings in a lower-cased log. Literals are searched as they are, not as ignore-case regexes."""
+    counts = [
+        F.when(lowered.contains(mark), F.regexp_count(lowered, F.lit(re.escape(mark)))).otherwise(0)
+        for mark in WARNING_MARKS
+    ]
+    return sum(counts[1:], counts[0]).cast("long")
 
 
 def action_mentions(text: Column) -> Column:

@@ -112,7 +112,8 @@ def _pytest(text: Column) -> Column:
 
 def strip_escapes(log: Column) -> Column:
     """Remove terminal control sequences."""
-    return F.regexp_replace(log, r"\x1B\[[0-?]*[ -/]*[@-~]", "")
+    plain = F.regexp_replace(log, r"\x1B\[[0-?]*[ -/]*[@-~]", "")
+    return F.when(log.contains("\x1b"), plain).otherwise(log)
 
 
 def parser_name(framework: Column, build_language: Column) -> Column:

@@ -10,7 +10,8 @@ DAY = 86_400 * SECOND
 WEEK = 7 * DAY
 
 # The characters that end a line of text, in any of its usual forms.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_END_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+LINE_END = f"\r\n|[{LINE_END_CHARS}]"
 
 
 def micros(column: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlore.functions.manifests import CI_CONFIG_PATH
 from runlore.functions.rules import commit_kind
 from runlore.functions.values import DAY, micros, word_count
-from runlore.operators.ordered import Cuts, asof_sums, previous_row
+from runlore.operators.ordered import NO_CUTS, Cuts, asof_sums, previous_row
 from runlore.operators.runs import RUN_KEY
 
 
@@ -127,7 +127,10 @@ def ci_config_churn(
         .agg(F.sum("__files").alias("__files"))
     )
     dated = runs.filter(F.col("created_at").isNotNull()).select("repository", "run_id", day("created_at").alias("__day"))
-    # runs of one day share the answer
+    # Runs of one day share the answer, so a repository has a few rows per day here: no group is hot
+    # unless a smaller limit is asked for.
+    if cuts is None and target_rows is None:
+        cuts = NO_CUTS
     counted = asof_sums(
         events,
         {"files": F.col("__files")},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlore.functions.errors import error_reason, strip_colors, strip_stamps
+from runlore.functions.errors import ESCAPE, error_reason, strip_colors, strip_stamps
 from runlore.functions.logs import (
     action_name,
     actions_used,
@@ -88,12 +88,17 @@ def log_facts(job_logs: DataFrame) -> DataFrame:
         job_logs.filter(truthy(F.col("log")))
         .withColumn("__plain", strip_stamps(F.col("log")))
         .withColumn("__text", strip_colors(F.col("__plain")))
+        .withColumn("__plain_lowered", F.lower("__plain"))
+        .withColumn(
+            "__text_lowered",
+            F.when(F.col("log").contains(ESCAPE), F.lower("__text")).otherwise(F.col("__plain_lowered")),
+        )
         .select(
             *JOB_KEY,
-            error_reason(F.col("log"), F.col("__text")).alias("error_reason"),
+            error_reason(F.col("log"), F.col("__text"), F.col("__text_lowered")).alias("error_reason"),
             runner_image(F.col("__plain")).alias("runner_image"),
             operating_system(F.col("__plain")).alias("operation_system"),
-            warning_count(F.col("__plain")).alias("log_warn_nums"),
+            warning_count(F.col("__plain_lowered")).alias("log_warn_nums"),
             actions_used(F.col("__plain")).alias("actions"),
             truthy(F.col("__plain")).alias("has_text"),
         )

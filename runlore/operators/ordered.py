@@ -23,6 +23,9 @@ TARGET_ROWS = 2_000_000
 MAX_HOT_GROUPS = 1_000
 SAMPLE_ROWS = 20_000
 
+SALTS = 64
+
+_SALT = "__salt"
 _SLICE = "__slice"
 _CUTS = "__cuts"
 _LAST = "__last"
@@ -226,6 +229,23 @@ def previous_row(
     )
 
 
+def join_facts(
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], by: str, spread: bool, how: str = "inner"
+) -> DataFrame:
+    """Join rows with one row of facts per key.
+
+    With ``spread`` the facts are repeated SALTS times and the rows of a key are dealt out by ``by``,
+    so that a key with very many rows is joined in many tasks.
+    """
+    if not spread:
+        return rows.join(facts, list(keys), how)
+    salted = facts.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
+        _SALT, F.col(_SALT).cast("long")
+    )
+    dealt = rows.withColumn(_SALT, F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return dealt.join(salted, [*keys, _SALT], how).drop(_SALT)
+
+
 def asof_sums(
     events: DataFrame,
     measures: Mapping[str, Column],

@@ -10,6 +10,7 @@ from runlore.operators.ordered import (
     NO_CUTS,
     Cuts,
     has_hot_group,
+    join_facts,
     previous_row,
     running_sums,
     trailing_sums,
@@ -28,12 +29,14 @@ def with_actor(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"actor_login": F.col("actor.login"), "actor_id": F.col("actor.id")})
 
 
-def repository_cuts(df: DataFrame, target_rows: int | None = None) -> Cuts | None:
-    """NO_CUTS when no repository is hot, else None: each operator then looks at its own groups.
+def repository_cuts(*tables: DataFrame, target_rows: int | None = None) -> Cuts | None:
+    """NO_CUTS when no repository is hot in any of the tables, else None: operators then look closer.
 
-    Groups by (repository, ...) are never larger than the repository, so one look serves them all.
+    A group by (repository, ...) is never larger than its repository, so this look at the stored
+    tables, one column each, serves every operator that orders rows derived from them.
     """
-    return None if has_hot_group(df, ["repository"], target_rows) else NO_CUTS
+    hot = any(has_hot_group(t.select("repository"), ["repository"], target_rows) for t in tables)
+    return None if hot else NO_CUTS
 
 
 def run_base(runs: DataFrame) -> DataFrame:
@@ -76,11 +79,14 @@ def total_builds(selected: DataFrame, cuts: Cuts | None = None, target_rows: int
     ).select(*RUN_KEY, "total_builds")
 
 
-def run_context(runs: DataFrame, selected: DataFrame, history_weeks: int = 4) -> DataFrame:
+def run_context(
+    runs: DataFrame, selected: DataFrame, history_weeks: int = 4, spread: bool = False
+) -> DataFrame:
     """History that the features of the selected runs look at.
 
     Successful and failed runs from ``history_weeks`` before the earliest selected run of the
-    repository up to the latest, and every selected run whatever its conclusion.
+    repository up to the latest, and every selected run whatever its conclusion. ``spread`` deals
+    the runs of a repository out over several tasks.
     """
     span = selected.groupBy("repository").agg(
         (F.min(micros("created_at")) - history_weeks * WEEK).alias("__from"),
@@ -89,7 +95,7 @@ def run_context(runs: DataFrame, selected: DataFrame, history_weeks: int = 4) ->
     chosen = selected.select(*RUN_KEY).distinct().withColumn("__selected", F.lit(True))
     at = micros("created_at")
     return (
-        runs.join(span, "repository", "inner")
+        join_facts(runs, span, ["repository"], "run_id", spread)
         .join(chosen, RUN_KEY, "left")
         .filter(
             F.col("__selected")

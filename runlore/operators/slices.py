@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runlore.functions.values import DAY, WEEK, micros
 from runlore.operators.ordered import Cuts, asof_sums
-from runlore.operators.runs import RUN_KEY, with_actor
+from runlore.operators.runs import RUN_KEY, repository_cuts, with_actor
 
 # Conclusions that count as finished, and the size of the latest slice.
 FINISHED = ("success", "failure")
@@ -62,6 +62,8 @@ def repository_experience(
     target_rows: int | None = None,
 ) -> DataFrame:
     """Commits of the run's actor in the repository during the ``weeks`` before the run."""
+    if cuts is None:
+        cuts = repository_cuts(runs, commits, target_rows=target_rows)
     probes = (
         with_actor(runs)
         .filter(F.col("actor_login").isNotNull() & F.col("created_at").isNotNull())
@@ -170,6 +172,9 @@ def hotspot_touched(
     target_rows: int | None = None,
 ) -> DataFrame:
     """Runs whose head commit touches a file that is hot as of the run (1; other runs are absent)."""
+    if cuts is None:
+        # a file is touched at most once per commit of a run
+        cuts = repository_cuts(runs, run_commits, target_rows=target_rows)
     touches = run_file_touches(context, run_commits, commit_files)
     # A file that never reaches the limits over all time cannot reach them in any window.
     totals = touches.groupBy("repository", "filename").agg(

@@ -130,19 +130,18 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
     """
     s = settings or Settings()
     selected = tables["runs"] if selected is None else selected
-    context = runs.run_context(tables["runs"], selected, s.history_weeks)
     code = s.enabled("fetch_sloc") or s.enabled("fetch_commit_details")
     facts = repository_facts(tables)
 
     # one look at the repositories' sizes serves every operator that orders by time
-    skew = runs.repository_cuts(context.select("repository"), s.target_rows)
+    ordered = [tables["runs"], tables["commits"], tables["run_commits"]] if code else [tables["runs"]]
+    skew = runs.repository_cuts(*ordered, target_rows=s.target_rows)
+    context = runs.run_context(tables["runs"], selected, s.history_weeks, spread=skew is None)
     rows = _base(selected, tables, facts, skew)
     columns = list(schemas.RUN_BASE)
     if code:
-        busy = runs.repository_cuts(tables["commits"].select("repository"), s.target_rows)
-        both = skew if busy is not None else None
-        rows = rows.join(_change_columns(selected, tables, context, s, both), RUN_KEY, "left")
-        for part in _history_columns(selected, tables, context, s, both):
+        rows = rows.join(_change_columns(selected, tables, context, s, skew), RUN_KEY, "left")
+        for part in _history_columns(selected, tables, context, s, skew):
             rows = rows.join(part, RUN_KEY, "left")
         rows = rows.withColumn(
             "dependencies_count", F.coalesce("__commit_dependencies", "dependencies_count")
