@@ -9,6 +9,7 @@ from contract.history_cases import DAY_US
 from contract.text_cases import FACTS_BODY, FIRST_ERROR
 from runlore.operators import jobs, runs
 from runlore.plans.job_features import job_features
+from runlore.plans.settings import Settings
 from runlore.session import cut_lineage
 
 _PARENT = """
@@ -144,6 +145,11 @@ def _(t: Tables):
     return job_features(job_tables(t)).drop("steps")
 
 
+@case("job_features_split", JOB_FEATURES % _HISTORY)
+def _(t: Tables):
+    return job_features(job_tables(t), settings=Settings(target_rows=200)).drop("steps")
+
+
 TESTS_RAN = """
 SELECT repository, run_id, bool_or(lower(name) LIKE '%test%' OR len(list_filter(coalesce(steps, []), lambda s: lower(s.name) LIKE '%test%')) > 0) AS tests_ran
 FROM {jobs} GROUP BY 1, 2"""

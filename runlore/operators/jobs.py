@@ -16,7 +16,7 @@ from runlore.functions.logs import (
 )
 from runlore.functions.rules import step_kind
 from runlore.functions.values import DAY, micros, seconds_between, truthy
-from runlore.operators.ordered import Cuts, previous_row
+from runlore.operators.ordered import Cuts, join_facts, previous_row
 
 JOB_KEY = ["repository", "job_id"]
 
@@ -43,16 +43,16 @@ def job_with_run(jobs: DataFrame, runs: DataFrame) -> DataFrame:
     return jobs.join(parents, ["repository", "run_id"], "left")
 
 
-def job_base(enriched: DataFrame, workflows: DataFrame) -> DataFrame:
+def job_base(enriched: DataFrame, workflows: DataFrame, spread: bool = False) -> DataFrame:
     """Base columns of a job row."""
     first = (
         workflows.withColumn("__id", F.col("id").cast("string"))
         .groupBy("repository", "__id")
         .agg(F.min_by("name", "list_pos").alias("workflow_name"))
     )
+    asked = enriched.withColumn("__id", F.col("workflow_id").cast("string"))
     return (
-        enriched.withColumn("__id", F.col("workflow_id").cast("string"))
-        .join(first, ["repository", "__id"], "left")
+        join_facts(asked, first, ["repository", "__id"], "job_id", spread, "left")
         .select(
             *JOB_KEY,
             "run_id",
@@ -261,6 +261,7 @@ def job_diagnostics(
     days: int = 30,
     cuts: Cuts | None = None,
     target_rows: int | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Diagnostic columns of each job; all null without a run context, repository or log.
 
@@ -268,9 +269,9 @@ def job_diagnostics(
     """
     day, hour = day_and_hour("started_at")
     previous = previous_jobs(enriched if all_jobs is None else all_jobs, context, days, cuts, target_rows)
-    known = enriched.filter(
-        F.coalesce("run_created_at", "created_at").isNotNull()
-    ).join(repositories.select("repository", "default_branch"), "repository")
+    dated = enriched.filter(F.coalesce("run_created_at", "created_at").isNotNull())
+    defaults = repositories.select("repository", "default_branch")
+    known = join_facts(dated, defaults, ["repository"], "job_id", spread)
     shown = known.select(
         *JOB_KEY,
         first_error_step(F.col("steps")).alias("gh_first_error_step"),

@@ -182,16 +182,16 @@ def failure_history(
     return sums.select(*RUN_KEY, *columns)
 
 
-def workflow_names(runs: DataFrame, workflows: DataFrame) -> DataFrame:
+def workflow_names(runs: DataFrame, workflows: DataFrame, spread: bool = False) -> DataFrame:
     """Name and path of the first listed workflow with the run's workflow id."""
     first = (
         workflows.withColumn("__id", F.col("id").cast("string"))
         .groupBy("repository", "__id")
         .agg(F.min_by(F.struct("name", "path"), "list_pos").alias("__w"))
     )
+    asked = runs.select(*RUN_KEY, F.col("workflow_id").cast("string").alias("__id"))
     return (
-        runs.select(*RUN_KEY, F.col("workflow_id").cast("string").alias("__id"))
-        .join(first, ["repository", "__id"], "left")
+        join_facts(asked, first, ["repository", "__id"], "run_id", spread, "left")
         .select(*RUN_KEY, F.col("__w.name").alias("workflow_name"), F.col("__w.path").alias("path"))
     )
 

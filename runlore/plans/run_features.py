@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runlore import schemas
 from runlore.functions.testlogs import parser_name, test_facts
 from runlore.operators import changes, commits, people, repositories, runs, slices
+from runlore.operators.ordered import join_facts
 from runlore.operators.runs import RUN_KEY
 from runlore.plans.settings import Settings
 
@@ -31,7 +32,9 @@ def repository_facts(tables: Tables) -> DataFrame:
     return joined
 
 
-def test_totals(selected: DataFrame, jobs: DataFrame, job_logs: DataFrame, facts: DataFrame) -> DataFrame:
+def test_totals(
+    selected: DataFrame, jobs: DataFrame, job_logs: DataFrame, facts: DataFrame, spread: bool = False
+) -> DataFrame:
     """Test results of each run: its job logs read with the parser of the first framework found.
 
     Each log is read once and only the counts of the parsers that matched leave the scan. There is
@@ -42,9 +45,9 @@ def test_totals(selected: DataFrame, jobs: DataFrame, job_logs: DataFrame, facts
         "repository", parser_name(F.get("test_frameworks", F.lit(0)), F.col("build_language")).alias("__parser")
     )
     names = ["passed", "failed", "skipped"]
+    placed = read.join(jobs.select("repository", "job_id", "run_id"), ["repository", "job_id"])
     per_run = (
-        read.join(jobs.select("repository", "job_id", "run_id"), ["repository", "job_id"])
-        .join(parsers, "repository")
+        join_facts(placed, parsers, ["repository"], "job_id", spread)
         .withColumn("__r", F.try_element_at("__found", F.col("__parser")))
         .groupBy(*RUN_KEY)
         .agg(*[F.sum(F.col("__r")[n]).alias(n) for n in names])
@@ -57,23 +60,23 @@ def test_totals(selected: DataFrame, jobs: DataFrame, job_logs: DataFrame, facts
     )
 
 
-def _base(selected: DataFrame, tables: Tables, facts: DataFrame, skew) -> DataFrame:
-    named = runs.workflow_names(selected, tables["workflows"])
+def _base(selected: DataFrame, tables: Tables, facts: DataFrame, skew, target_rows) -> DataFrame:
+    spread = skew is None
+    named = runs.workflow_names(selected, tables["workflows"], spread)
     located = named.join(selected.select(*RUN_KEY, "head_sha"), RUN_KEY)
     files = repositories.workflow_file_facts(located, tables["file_contents"])
-    return (
+    rows = (
         runs.run_base(selected)
-        .join(runs.total_builds(selected, cuts=skew), RUN_KEY)
+        .join(runs.total_builds(selected, skew, target_rows), RUN_KEY)
         .join(named.drop("path"), RUN_KEY, "left")
         .join(files, RUN_KEY, "left")
-        .join(facts, "repository", "left")
-        .withColumns(
-            {
-                "languages": F.coalesce("languages", F.lit(repositories.NO_LANGUAGE)),
-                "dependencies_count": F.coalesce("dependencies_count", F.lit(0)).cast("long"),
-                "test_frameworks": F.coalesce("test_frameworks", F.array().cast("array<string>")),
-            }
-        )
+    )
+    return join_facts(rows, facts, ["repository"], "run_id", spread, "left").withColumns(
+        {
+            "languages": F.coalesce("languages", F.lit(repositories.NO_LANGUAGE)),
+            "dependencies_count": F.coalesce("dependencies_count", F.lit(0)).cast("long"),
+            "test_frameworks": F.coalesce("test_frameworks", F.array().cast("array<string>")),
+        }
     )
 
 
@@ -137,7 +140,7 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
     ordered = [tables["runs"], tables["commits"], tables["run_commits"]] if code else [tables["runs"]]
     skew = runs.repository_cuts(*ordered, target_rows=s.target_rows)
     context = runs.run_context(tables["runs"], selected, s.history_weeks, spread=skew is None)
-    rows = _base(selected, tables, facts, skew)
+    rows = _base(selected, tables, facts, skew, s.target_rows)
     columns = list(schemas.RUN_BASE)
     if code:
         rows = rows.join(_change_columns(selected, tables, context, s, skew), RUN_KEY, "left")
@@ -151,7 +154,8 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
             rows = rows.withColumns({c: F.lit(None).cast(kinds.get(c, "long")) for c in schemas.RUN_SIZE})
         columns += schemas.RUN_SIZE + schemas.RUN_DIFF + schemas.RUN_SYMBOLS + schemas.RUN_HISTORY
     if s.enabled("fetch_test_parsing_results"):
-        rows = rows.join(test_totals(selected, tables["jobs"], tables["job_logs"], facts), RUN_KEY, "left")
+        tests = test_totals(selected, tables["jobs"], tables["job_logs"], facts, spread=skew is None)
+        rows = rows.join(tests, RUN_KEY, "left")
         columns += schemas.RUN_TESTS
     if s.enabled("fetch_job_details"):
         summary = runs.job_summary(selected, tables["jobs"]).drop("concurrent_jobs")
