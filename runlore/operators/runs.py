@@ -236,6 +236,16 @@ def job_summary(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
+def concurrent_jobs(runs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Number of a run's jobs, 1 for a run without any."""
+    counted = jobs.groupBy(*RUN_KEY).agg(F.count(F.lit(1)).alias("concurrent_jobs"))
+    return (
+        runs.select(*RUN_KEY)
+        .join(counted, RUN_KEY, "left")
+        .select(*RUN_KEY, F.coalesce("concurrent_jobs", F.lit(1)).cast("long").alias("concurrent_jobs"))
+    )
+
+
 def tests_ran(jobs: DataFrame) -> DataFrame:
     """Per run: some job name or step name contains 'test'."""
     named = F.coalesce(F.lower("name").contains("test"), F.lit(False))

@@ -101,21 +101,18 @@ def _change_columns(selected: DataFrame, tables: Tables, context: DataFrame, s:
 
 
 def _history_columns(selected: DataFrame, tables: Tables, context: DataFrame, s: Settings, skew) -> list[DataFrame]:
-    known, files, pulls = tables["commits"], tables["commit_files"], tables["pull_requests"]
+    known, files = tables["commits"], tables["commit_files"]
     limit = {"cuts": skew, "target_rows": s.target_rows}
-    jobs = runs.job_summary(selected, tables["jobs"]).select(*RUN_KEY, "concurrent_jobs")
-    score = commits.pull_request_features(selected, pulls, score=True)
     return [
         people.committer_counts(selected, known, s.team_days, **limit),
         people.committer_standing(selected, known, s.standing_key),
         commits.base_commit(selected, known),
         commits.commit_metrics(selected, tables["run_commits"], known, files),
-        score.select(*RUN_KEY, "pr_number", "gh_pr_description_complexity"),
         runs.previous_run(context, **limit),
         runs.failure_history(context, s.history_weeks, s.recent_weeks, **limit),
         slices.repository_experience(selected, known, s.experience_weeks, **limit),
         slices.cross_project_experience(selected, tables["runs"], s.large_repository_runs, s.large_repositories),
-        jobs,
+        runs.concurrent_jobs(selected, tables["jobs"]),
         commits.same_files_as_previous(context, known, files, **limit),
         commits.ci_config_churn(selected, known, files, s.churn_weeks, **limit),
     ]
@@ -161,9 +158,10 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
         summary = runs.job_summary(selected, tables["jobs"]).drop("concurrent_jobs")
         rows = rows.join(summary, RUN_KEY, "left")
         columns += schemas.RUN_JOBS
-    if s.enabled("fetch_pull_request_details"):
-        pulls = commits.pull_request_features(selected, tables["pull_requests"]).drop("pr_number")
-        # this group's word count replaces the score of the history group
-        rows = rows.drop("gh_pr_description_complexity").join(pulls, RUN_KEY, "left")
-        columns += [c for c in schemas.RUN_PULL_REQUEST if c not in columns]
+    details = s.enabled("fetch_pull_request_details")
+    if code or details:
+        # where both groups are on, the word count replaces the score
+        pulls = commits.pull_request_features(selected, tables["pull_requests"], score=not details)
+        rows = rows.join(pulls, RUN_KEY, "left")
+        columns += [c for c in schemas.RUN_PULL_REQUEST if details and c not in columns]
     return _with_defaults(rows.select(*RUN_KEY, *columns))
