@@ -49,7 +49,6 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("runlore-bench")
         .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
@@ -58,6 +57,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     from contract import CASES
+    from runlore.session import configure
+
+    configure(spark)
 
     only = sys.argv[1:]
     names = [n for n in HEADLINES if not only or n in only]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contract.views import oracle, spark_view
+from runlore.session import configure
 
 
 @dataclass
@@ -32,7 +33,7 @@ class Case:
     body: str | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        configure(spark)
         return comparable(self.build(Tables(spark, sf_dir)))
 
     @property

@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Settings a session should have. A stage with very many expressions becomes one method that the
+# JVM refuses to compile above 8000 bytes of bytecode; below that limit Spark splits it instead.
+RECOMMENDED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the recommended settings to a session."""
+    for key, value in RECOMMENDED.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for reliable checkpoints.
