@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import simhash
+from runlore.llm import langid, simhash
 from runlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,8 @@ def query(run):
 @query
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op8(table(spark, sf_dir, "documents"))
