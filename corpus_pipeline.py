@@ -6,18 +6,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import simhash
+from runlore.llm import decontam, langid, mixing, pii, simhash
 from runlore.llm.common import table
 from runlore.session import checkpoint_root
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language is not identified: no letter, or no language likely."""
+    return langid.known_language(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash component."""
     return simhash.dedup(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which a twentieth or more of the words lie in benchmark windows."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; every document stays."""
+    return pii.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add how often each document is taken (copies, 0 for not at all) to reach the target weights."""
+    return mixing.mixed(docs)
+
+
 STAGES = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixing", mix),
 ]
 
 # Language models, fingerprints and rounding by hashes have no SQL form.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import decontam, langid, pii, simhash
+from runlore.llm import decontam, langid, mixing, pii, simhash
 from runlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ SQL["op10_decontamination"] = decontam.OP10_SQL
 @query
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op5(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3(table(spark, sf_dir, "documents"))
