@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import decontam, langid, mixing, pii, simhash
+from runlore.llm import decontam, langid, mixing, pii, simhash, tokens
 from runlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,8 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.op2(table(spark, sf_dir, "documents"), public_tokenizers.path(tokens.VOCABULARY))
