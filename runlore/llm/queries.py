@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import decontam, langid, mixing, pii, simhash, tokens
+from runlore.llm import decontam, langid, mixing, pii, secrets, simhash, tokens
 from runlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op2(table(spark, sf_dir, "documents"), public_tokenizers.path(tokens.VOCABULARY))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op6(table(spark, sf_dir, "documents"))
