@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import chat, decontam, langid, mixing, pii, secrets, simhash, tokens
+from runlore.llm import ann, chat, decontam, langid, mixing, pii, secrets, simhash, tokens
 from runlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op7(chat.with_control_strings(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op9(table(spark, sf_dir, "embeddings"))
