@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import ann, chat, decontam, langid, mixing, pii, secrets, simhash, tokens
+from runlore.llm import ann, chat, decontam, langid, mixing, pii, secrets, simhash, tokens, warc
 from runlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,11 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.op9(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op1(table(spark, sf_dir, "pages"))
+
+
+SQL["op1_revisits"] = warc.OP1_SQL
