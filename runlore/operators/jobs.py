@@ -118,15 +118,18 @@ def previous_attempts(jobs: DataFrame, cuts: Cuts | None = None, target_rows: in
 
 
 def previous_workflow_runs(
-    context: DataFrame, days: int = 30, cuts: Cuts | None = None, target_rows: int | None = None
+    runs: DataFrame, days: int = 30, cuts: Cuts | None = None, target_rows: int | None = None
 ) -> DataFrame:
-    """For each run, the next older run of the same workflow if it is at most ``days`` older."""
-    narrow = context.select("repository", "run_id", "workflow_id", "created_at").filter(
+    """For each run, the next older finished run of its workflow if it is at most ``days`` older.
+
+    Runs that succeeded or failed are candidates, whatever is selected; every run is a probe.
+    """
+    narrow = runs.select("repository", "run_id", "workflow_id", "created_at", "conclusion").filter(
         F.col("workflow_id").isNotNull() & F.col("created_at").isNotNull()
     )
     paired = previous_row(
         narrow, ["repository", "workflow_id"], ["created_at", "run_id"], ["run_id", "created_at"], "__p",
-        cuts=cuts, target_rows=target_rows,
+        where=F.col("conclusion").isin("success", "failure"), cuts=cuts, target_rows=target_rows,
     )
     near = micros(F.col("__p.created_at")) >= micros("created_at") - days * DAY
     return paired.select("repository", "run_id", F.when(near, F.col("__p.run_id")).alias("prev_run_id"))
@@ -134,16 +137,30 @@ def previous_workflow_runs(
 
 def previous_jobs(
     jobs: DataFrame,
-    context: DataFrame,
+    runs: DataFrame,
     days: int = 30,
     cuts: Cuts | None = None,
     target_rows: int | None = None,
+    selected: DataFrame | None = None,
 ) -> DataFrame:
-    """For each job, the previous comparable job: an earlier attempt, else the same job one run before."""
-    attempts = previous_attempts(jobs, cuts, target_rows)
-    earlier_runs = previous_workflow_runs(context, days, cuts, target_rows).filter(
+    """For each job, the previous comparable job: an earlier attempt, else the same job one run before.
+
+    With ``selected`` only those jobs are answered, from the same candidates.
+    """
+    asked = (jobs if selected is None else selected).select(*JOB_KEY, "run_id", "name")
+    earlier_runs = previous_workflow_runs(runs, days, cuts, target_rows).filter(
         F.col("prev_run_id").isNotNull()
     )
+    siblings = jobs
+    if selected is not None:
+        run_key = ["repository", "run_id"]
+        wanted = asked.select(*run_key).distinct()
+        earlier_runs = earlier_runs.join(wanted, run_key, "left_semi")
+        siblings = jobs.join(wanted, run_key, "left_semi")
+        jobs = jobs.join(
+            earlier_runs.select("repository", F.col("prev_run_id").alias("run_id")).distinct(), run_key, "left_semi"
+        )
+    attempts = previous_attempts(siblings, cuts, target_rows)
     # of several jobs with the name, the first listed one is compared
     named = (
         jobs.filter(F.col("name").isNotNull())
@@ -151,8 +168,7 @@ def previous_jobs(
         .agg(F.min("job_id").alias("prev_named_id"))
     )
     return (
-        jobs.select(*JOB_KEY, "run_id", "name")
-        .join(attempts, JOB_KEY, "left")
+        asked.join(attempts, JOB_KEY, "left")
         .join(earlier_runs, ["repository", "run_id"], "left")
         .join(named, ["repository", "prev_run_id", "name"], "left")
         .select(*JOB_KEY, F.coalesce("prev_attempt_id", "prev_named_id").alias("prev_job_id"))
@@ -240,8 +256,10 @@ def first_error_step(steps: Column) -> Column:
 
 
 def day_and_hour(started: str) -> tuple[Column, Column]:
-    """Day of the week (Monday is 0) and hour, in UTC."""
-    return F.weekday(started).cast("long"), F.hour(started).cast("long")
+    """Day of the week (Monday is 0) and hour, in UTC whatever the session's time zone."""
+    # 1 January 1970 was a Thursday
+    day = F.pmod(F.floor(micros(started) / F.lit(DAY)) + 3, F.lit(7))
+    return day.cast("long"), F.pmod(F.floor(micros(started) / F.lit(DAY // 24)), F.lit(24)).cast("long")
 
 
 def default_branch_flag(enriched: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -255,12 +273,8 @@ def default_branch_flag(enriched: DataFrame, repositories: DataFrame) -> DataFra
 def job_diagnostics(
     enriched: DataFrame,
     facts: DataFrame,
-    context: DataFrame,
+    previous: DataFrame,
     repositories: DataFrame,
-    all_jobs: DataFrame | None = None,
-    days: int = 30,
-    cuts: Cuts | None = None,
-    target_rows: int | None = None,
     spread: bool = False,
 ) -> DataFrame:
     """Diagnostic columns of each job; all null without a run context, repository or log.
@@ -268,7 +282,6 @@ def job_diagnostics(
     ``facts`` is read in three places, so pass it materialised when logs are large.
     """
     day, hour = day_and_hour("started_at")
-    previous = previous_jobs(enriched if all_jobs is None else all_jobs, context, days, cuts, target_rows)
     dated = enriched.filter(F.coalesce("run_created_at", "created_at").isNotNull())
     defaults = repositories.select("repository", "default_branch")
     known = join_facts(dated, defaults, ["repository"], "job_id", spread)

@@ -10,30 +10,32 @@ so the result does not depend on them.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-TARGET_ROWS = 2_000_000
-MAX_HOT_GROUPS = 1_000
-SAMPLE_ROWS = 20_000
+from runlore.session import cut_lineage
 
-SALTS = 64
+# Rows that one task orders. A larger group is cut into slices of about this size.
+TARGET_ROWS = 2_000_000
+# Sampled order keys per slice, from which cut points are chosen.
+POINTS = 20
+# Cut points are looked up in strides of this length, so a row is compared with few of them.
+STRIDE = 64
 
 _SALT = "__salt"
 _SLICE = "__slice"
 _CUTS = "__cuts"
+_COARSE = "__coarse"
 _LAST = "__last"
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Cut points of the hot groups: one row per hot group, at most MAX_HOT_GROUPS rows."""
+    """Cut points of the hot groups: one row per hot group."""
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
@@ -51,17 +53,17 @@ def _matches(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])
 
 
-def _extent(sizes: DataFrame, target_rows: int | None) -> tuple[int, int, int]:
-    top = sizes.agg(F.sum("__n").alias("total"), F.max("__n").alias("largest")).first()
-    total = top["total"] or 0
-    target = TARGET_ROWS if target_rows is None else target_rows
-    return total, top["largest"] or 0, max(target, math.ceil(total / MAX_HOT_GROUPS))
+def _target(target_rows: int | None) -> int:
+    return TARGET_ROWS if target_rows is None else target_rows
+
+
+def _sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def has_hot_group(df: DataFrame, keys: Sequence[str], target_rows: int | None = None) -> bool:
     """Whether some group is too large for one task. Finer groups are hot only where these are."""
-    _, largest, limit = _extent(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), target_rows)
-    return largest > limit
+    return (_sizes(df, keys).agg(F.max("__n")).first()[0] or 0) > _target(target_rows)
 
 
 def find_cuts(
@@ -69,49 +71,35 @@ def find_cuts(
 ) -> Cuts:
     """Look for groups above ``target_rows`` and choose cut points inside them.
 
-    Two bounded answers reach the driver: the group sizes' sum and maximum, and, only when some
-    group is hot, about SAMPLE_ROWS sampled order keys of the hot groups. The threshold grows with
-    the table, so there are at most MAX_HOT_GROUPS hot groups and twice as many slices.
+    Slices keep their size whatever the size of the table: a group of n rows gets n / target_rows of
+    them. There are fewer hot groups than total rows / target_rows, so they may be broadcast, and the
+    cut points, chosen per group from a sample, are as many as the slices. One number, the
+    largest group's size, reaches the driver.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total, largest, limit = _extent(sizes, target_rows)
-    if largest <= limit:
+    target = _target(target_rows)
+    if not has_hot_group(df, keys, target_rows):
         return NO_CUTS
-
-    hot = sizes.filter(F.col("__n") > limit).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n"
+    hot = (
+        _sizes(df, keys)
+        .filter(F.col("__n") > target)
+        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n")
     )
     pairs = [(k, f"__k{i}") for i, k in enumerate(keys)]
-    # hot holds at most total/limit <= MAX_HOT_GROUPS rows, so it may be broadcast
-    rows = (
+    names = [c for _, c in pairs]
+    point = F.struct(*[F.col(o) for o in order])
+    sampled = (
         df.join(F.broadcast(hot), _matches(df, hot, pairs), "inner")
-        .select("__n", *[c for _, c in pairs], *order)
-        .sample(fraction=min(1.0, SAMPLE_ROWS / total), seed=11)
-        .collect()
-    )
-    samples: dict[tuple, list[tuple]] = {}
-    slices: dict[tuple, int] = {}
-    for row in rows:
-        group = tuple(row[c] for _, c in pairs)
-        slices[group] = math.ceil(row["__n"] / limit)
-        samples.setdefault(group, []).append(tuple(row[o] for o in order))
-
-    table = []
-    for group, points in samples.items():
-        points.sort(key=lambda p: [(v is not None, v) for v in p])
-        step = len(points) / slices[group]
-        picked = {points[int(i * step)] for i in range(1, slices[group])}
-        table.append((*group, sorted(picked, key=lambda p: [(v is not None, v) for v in p])))
-    if not table:
-        return NO_CUTS
-
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    point = T.StructType([T.StructField(o, fields[o]) for o in order])
-    schema = T.StructType(
-        [T.StructField(c, fields[k]) for k, c in pairs]
-        + [T.StructField(_CUTS, T.ArrayType(point))]
+        .select("__n", *names, point.alias("__point"))
+        .sample(fraction=min(1.0, POINTS / target), seed=11)
+        .groupBy(*names)
+        .agg(F.max("__n").alias("__n"), F.array_sort(F.collect_list("__point")).alias("__points"))
     )
-    return Cuts(tuple(keys), tuple(order), df.sparkSession.createDataFrame(table, schema))
+    slices = F.ceil(F.col("__n") / target).cast("int")
+    at = lambda i: F.col("__points")[F.floor(i * F.size("__points") / slices).cast("int")]
+    cuts = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), slices - 1), at)))
+    table = cut_lineage(sampled.select(*names, cuts.alias(_CUTS)))
+    every = F.filter(_CUTS, lambda _, i: i % STRIDE == 0)
+    return Cuts(tuple(keys), tuple(order), table.withColumn(_COARSE, every))
 
 
 def _resolve(df, keys, order, cuts, target_rows) -> Cuts:
@@ -122,9 +110,12 @@ def _sliced(df: DataFrame, cuts: Cuts) -> DataFrame:
     pairs = [(k, f"__k{i}") for i, k in enumerate(cuts.keys)]
     point = F.struct(*[F.col(o) for o in cuts.order])
     joined = df.join(F.broadcast(cuts.table), _matches(df, cuts.table, pairs), "left")
-    passed = F.size(F.filter(F.col(_CUTS), lambda c: c <= point))
+    stride = F.size(F.filter(F.col(_COARSE), lambda c: c <= point))
+    joined = joined.withColumn("__stride", stride)
+    first = F.greatest(F.col("__stride") - 1, F.lit(0)) * STRIDE
+    passed = first + F.size(F.filter(F.slice(_CUTS, first + 1, F.lit(STRIDE)), lambda c: c <= point))
     return joined.withColumn(_SLICE, F.when(F.col(_CUTS).isNotNull(), passed).otherwise(0)).drop(
-        *[c for _, c in pairs]
+        _COARSE, "__stride", *[c for _, c in pairs]
     )
 
 
@@ -202,26 +193,32 @@ def previous_row(
     columns: Sequence[str],
     name: str,
     *,
+    where: Column | None = None,
     cuts: Cuts | None = None,
     target_rows: int | None = None,
 ) -> DataFrame:
-    """Add ``name``: a struct of ``columns`` of the row before this one, null for the first row."""
+    """Add ``name``: a struct of ``columns`` of the row before this one, null for the first row.
+
+    With ``where`` it is the last row before this one for which the condition holds.
+    """
     cuts = _resolve(df, keys, order, cuts, target_rows)
-    payload = F.struct(*columns)
+    payload = F.struct(*columns) if where is None else F.when(where, F.struct(*columns))
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if not cuts.any:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.lag(payload).over(w))
+        return df.withColumn(name, F.last(payload, ignorenulls=True).over(w))
 
     sliced = _spread(_sliced(df, cuts), keys)
-    w = Window.partitionBy(*keys, _SLICE).orderBy(*order)
-    local = sliced.withColumn(name, F.lag(payload).over(w))
+    w = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = sliced.withColumn(name, F.last(payload, ignorenulls=True).over(w))
+    point = F.when(payload.isNotNull(), F.struct(*order))
     last = (
         sliced.filter(F.col(_CUTS).isNotNull())
         .groupBy(*keys, _SLICE)
-        .agg(F.max_by(payload, F.struct(*order)).alias(_LAST))
+        .agg(F.max_by(payload, point).alias(_LAST))
         .select(*_carry_keys(keys), _LAST)
     )
-    carry = last.withColumn(_LAST, F.lag(_LAST).over(_carry_window(keys)))
+    earlier = _carry_window(keys).rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.withColumn(_LAST, F.last(_LAST, ignorenulls=True).over(earlier))
     return (
         _with_carry(local, carry, keys)
         .withColumn(name, F.coalesce(name, _LAST))
@@ -234,16 +231,25 @@ def join_facts(
 ) -> DataFrame:
     """Join rows with one row of facts per key.
 
-    With ``spread`` the facts are repeated SALTS times and the rows of a key are dealt out by ``by``,
-    so that a key with very many rows is joined in many tasks.
+    With ``spread`` a key with more than TARGET_ROWS rows is dealt out by ``by`` over as many salts as
+    it has slices, and only its facts are repeated so often. Fewer keys than total rows /
+    TARGET_ROWS are that large, so their list may be broadcast.
     """
     if not spread:
         return rows.join(facts, list(keys), how)
-    salted = facts.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
-        _SALT, F.col(_SALT).cast("long")
+    names = [f"__h{i}" for i in range(len(keys))]
+    hot = (
+        _sizes(rows, keys)
+        .filter(F.col("__n") > TARGET_ROWS)
+        .select(*[F.col(k).alias(h) for k, h in zip(keys, names)], F.ceil(F.col("__n") / TARGET_ROWS).alias("__salts"))
+    )
+    same = lambda df: reduce(lambda a, b: a & b, [df[k] == hot[h] for k, h in zip(keys, names)])
+    salts = F.coalesce("__salts", F.lit(1).cast("long"))
+    repeated = facts.join(F.broadcast(hot), same(facts), "left").withColumn(
+        _SALT, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
     )
-    dealt = rows.withColumn(_SALT, F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    return dealt.join(salted, [*keys, _SALT], how).drop(_SALT)
+    dealt = rows.join(F.broadcast(hot), same(rows), "left").withColumn(_SALT, F.pmod(F.xxhash64(by), salts))
+    return dealt.drop("__salts", *names).join(repeated.drop("__salts", *names), [*keys, _SALT], how).drop(_SALT)
 
 
 def asof_sums(

@@ -84,12 +84,18 @@ def test_asof_sums_open_and_closed(spark, rows, target):
     assert {r.p: (r.upto_g_n, r.before_g_n) for r in got} == want
 
 
-def test_cuts_are_bounded_and_only_for_hot_groups(spark, rows):
+def test_cuts_follow_the_size_of_hot_groups_only(spark, rows):
     df = frame(spark, rows)
     assert not ordered.find_cuts(df, ["k"], ["at", "id"]).any
     cuts = ordered.find_cuts(df, ["k"], ["at", "id"], 40)
     hot = [r["__k0"] for r in cuts.table.collect()]
     assert hot == ["a"]
+    many = spark.range(3000).selectExpr("'a' as k", "id % 50 as at", "id")
+    cuts = ordered.find_cuts(many, ["k"], ["at", "id"], 10)
+    assert 150 < len(cuts.table.first()["__cuts"]) < 300
+    out = ordered.running_sums(many, ["k"], ["at", "id"], {"n": F.lit(1)}, cuts=cuts)
+    ranked = sorted(out.collect(), key=lambda r: (r.at, r.id))
+    assert [r.n for r in ranked] == list(range(1, 3001))
     assert ordered.has_hot_group(df, ["k"], 40) and not ordered.has_hot_group(df, ["k"], 1000)
 
 
@@ -99,3 +105,23 @@ def test_split_groups_are_exchanged_by_slice(spark, rows):
     out = ordered.running_sums(df, ["k"], ["at", "id"], {"n": F.lit(1)}, target_rows=10)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k#" in plan and "__slice" in plan.split("hashpartitioning(")[-1] or "__slice" in plan
+
+
+def test_facts_of_hot_keys_are_joined_once_per_row(spark, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "TARGET_ROWS", 7)
+    df = frame(spark, rows)
+    facts = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, f int")
+    for how in ("inner", "left"):
+        plain = sorted(map(str, df.join(facts, ["k"], how).collect()))
+        assert sorted(map(str, ordered.join_facts(df, facts, ["k"], "id", True, how).collect())) == plain
+
+
+def test_previous_row_with_a_condition(spark, rows):
+    for target in SPLITS:
+        got = ordered.previous_row(
+            frame(spark, rows), ["k"], ["at", "id"], ["id"], "p", where=F.col("v") > 3, target_rows=target
+        ).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            before = [x for x in rows if x[0] == r.k and order(x) < order((r.k, r.at, r.id)) and x[3] > 3]
+            assert (r.p.id if r.p else None) == (max(before, key=order)[2] if before else None)
