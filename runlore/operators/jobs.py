@@ -216,30 +216,30 @@ def job_actions(facts: DataFrame) -> DataFrame:
 
 
 def action_flags(facts: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Whether a job uses an action of no known organisation, shares artifacts, or caches."""
+    """Whether a job uses an action of no known organisation, shares artifacts, or caches.
+
+    Sharing and caching are read from the job's own list. An action that nearly all jobs use is a hot
+    key of the join with the known actions, so its rows are dealt out.
+    """
     owned = (
-        repositories.filter(F.col("has_organization"))
-        .select(F.col("repository").alias("name"), F.lit(True).alias("__owned"))
-        .distinct()
+        repositories.filter(F.col("has_organization")).select(F.col("repository").alias("name")).distinct()
     )
-    used = job_actions(facts).select(*JOB_KEY, action_name(F.col("action")).alias("name"))
-    # one row per action name: few names make up most uses, so this side usually ends up small
-    # enough for adaptive execution to broadcast it after seeing its size
-    names = used.select("name").distinct().join(owned, "name", "left")
-    flags = (
-        used.join(names, "name")
-        .groupBy(*JOB_KEY)
-        .agg(
-            F.bool_or(F.col("__owned").isNull()).alias("use_unverified_action"),
-            F.bool_or(F.col("name").isin(ARTIFACT_ACTIONS)).alias("is_artifact_share"),
-            F.bool_or(F.col("name") == CACHE_ACTION).alias("is_action_cache"),
-        )
+    used = job_actions(facts).select(*JOB_KEY, action_name(F.col("action")).alias("name")).filter("name is not null")
+    unknown = used.select("name").distinct().join(owned, "name", "left_anti")
+    unverified = (
+        join_facts(used, unknown, ["name"], "job_id", True)
+        .select(*JOB_KEY, F.lit(True).alias("__unverified"))
+        .distinct()
     )
-    columns = ["use_unverified_action", "is_artifact_share", "is_action_cache"]
-    return (
-        facts.select(*JOB_KEY)
-        .join(flags, JOB_KEY, "left")
-        .select(*JOB_KEY, *[F.coalesce(n, F.lit(False)).alias(n) for n in columns])
+
+    def uses(names: list[str]) -> Column:
+        return F.coalesce(F.exists("actions", lambda a: action_name(a["action"]).isin(names)), F.lit(False))
+
+    return facts.join(unverified, JOB_KEY, "left").select(
+        *JOB_KEY,
+        F.coalesce("__unverified", F.lit(False)).alias("use_unverified_action"),
+        uses(ARTIFACT_ACTIONS).alias("is_artifact_share"),
+        uses([CACHE_ACTION]).alias("is_action_cache"),
     )
 
 
@@ -263,9 +263,12 @@ def day_and_hour(started: str) -> tuple[Column, Column]:
 
 
 def default_branch_flag(enriched: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Whether the job ran on the default branch of its repository."""
+    """Whether the job ran on the default branch of its repository; false without a known one.
+
+    In ``job_diagnostics`` the flag is null instead where the repository is unknown.
+    """
     defaults = repositories.select("repository", "default_branch")
-    return enriched.join(defaults, "repository", "left").select(
+    return join_facts(enriched, defaults, ["repository"], "job_id", True, "left").select(
         *JOB_KEY, F.coalesce(F.col("head_branch").eqNullSafe(F.col("default_branch")), F.lit(False)).alias("is_master")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.functions.values import DAY, WEEK, micros
-from runlore.operators.ordered import Cuts, asof_sums
+from runlore.operators.ordered import Cuts, asof_sums, join_facts
 from runlore.operators.runs import RUN_KEY, repository_cuts, with_actor
 
 # Conclusions that count as finished, and the size of the latest slice.
@@ -109,7 +109,7 @@ def cross_project_experience(
     return (
         with_actor(runs)
         .select(*RUN_KEY, F.when(F.col("actor_login") != "", F.col("actor_login")).alias("owner"))
-        .join(experienced, "owner", "left")
+        .transform(lambda asked: join_facts(asked, experienced, ["owner"], "run_id", True, "left"))
         .select(
             *RUN_KEY,
             F.when(F.col("owner").isNotNull(), F.coalesce("__experienced", F.lit(False))).alias(

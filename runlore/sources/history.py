@@ -11,13 +11,16 @@ from runlore.functions.values import DAY, WEEK, micros
 from runlore.operators.runs import RUN_KEY
 
 BUCKETS = 256
+ROWS_PER_FILE = 500_000
 
 
 def merge_history(*sources: DataFrame) -> DataFrame:
     """One row per run. A later source replaces an earlier one: stored < fetched < selected."""
     ranked = [s.withColumn("__rank", F.lit(i)) for i, s in enumerate(sources)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
-    newest = Window.partitionBy(*RUN_KEY).orderBy(F.desc("__rank"), F.desc("updated_at"))
+    # rows that agree on both are told apart by their content, so reruns keep the same one
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(stacked.columns)])
+    newest = Window.partitionBy(*RUN_KEY).orderBy(F.desc("__rank"), F.desc("updated_at"), content)
     return (
         stacked.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") == 1).drop("__n", "__rank")
     )
@@ -76,16 +79,20 @@ def job_gaps(jobs: DataFrame, stored: DataFrame, days: int = 30) -> DataFrame:
     return _gaps(needed, stored)
 
 
-def save_history(history: DataFrame, path: str, buckets: int = BUCKETS, files_per_bucket: int = 8) -> None:
+def save_history(history: DataFrame, path: str, buckets: int = BUCKETS, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Store runs by repository bucket; only the buckets present in ``history`` are replaced.
 
     ``history`` must hold all runs of the buckets it touches: see ``update_history``. A bucket is
-    spread over several files by run, so a busy repository does not end up in one task.
+    spread over as many files as its rows need, so a busy repository does not end up in one task.
     """
-    spread = F.pmod(F.xxhash64("run_id"), F.lit(files_per_bucket))
+    placed = history.withColumn("bucket", F.pmod(F.xxhash64("repository"), F.lit(buckets)).cast("int"))
+    # one row per bucket
+    files = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("__files"))
     (
-        history.withColumn("bucket", F.pmod(F.xxhash64("repository"), F.lit(buckets)).cast("int"))
-        .repartition("bucket", spread)
+        placed.join(F.broadcast(files), "bucket")
+        .withColumn("__file", F.pmod(F.xxhash64("run_id"), F.col("__files")))
+        .repartition("bucket", "__file")
+        .drop("__file", "__files")
         .sortWithinPartitions("bucket", "repository", "created_at")
         .write.option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")

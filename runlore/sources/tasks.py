@@ -123,6 +123,23 @@ def duplicate_tasks(tasks: DataFrame, id_column: str = "run_id") -> DataFrame:
     )
 
 
+def resolve_rows(
+    tasks: DataFrame, repositories: Sequence[str] | None = None, id_column: str = "run_id", overwrite: bool = False
+) -> DataFrame:
+    """The task table with the resolved ``collected`` in all rows of its duplicate groups.
+
+    Only groups of the given repositories are touched (all without a list), other rows stay.
+    """
+    chosen = tasks.filter(F.col("repository").isin(list(repositories))) if repositories else tasks
+    state = (
+        resolve_tasks(chosen.select("repository", id_column, "collected"), id_column, overwrite)
+        .filter(F.col("row_count") > 1)
+        .select("repository", id_column, F.col("collected").alias("__state"))
+    )
+    joined = tasks.join(state, ["repository", id_column], "left").withColumn("collected", F.coalesce("__state", "collected"))
+    return joined.select(*tasks.columns)
+
+
 def pending_tasks(
     tasks: DataFrame,
     repositories: Sequence[str] | None = None,
@@ -238,9 +255,16 @@ def _number_text(value: Column) -> Column:
 
 
 def _time_text(value: Column) -> Column:
-    micro = F.unix_micros(value) % 1_000_000
-    part = F.when(micro != 0, F.concat(F.lit("."), F.lpad(micro.cast("string"), 6, "0"))).otherwise("")
-    return F.concat(F.date_format(value, "yyyy-MM-dd HH:mm:ss"), part, F.lit("+00:00"))
+    """UTC text of a time, built from its microseconds, so the session's time zone does not matter."""
+    micro = F.unix_micros(value)
+    second = F.floor(micro / F.lit(1_000_000))
+    rest = F.pmod(second, F.lit(86_400))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(second / 86_400).cast("int")).cast("string")
+    clock = F.concat_ws(":", two(F.floor(rest / 3600)), two(F.floor(rest / 60) % 60), two(rest % 60))
+    part = F.pmod(micro, F.lit(1_000_000))
+    fraction = F.when(part != 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise("")
+    return F.when(value.isNotNull(), F.concat(day, F.lit(" "), clock, fraction, F.lit("+00:00")))
 
 
 def serialised(df: DataFrame) -> DataFrame:
@@ -263,9 +287,17 @@ def serialised(df: DataFrame) -> DataFrame:
 
 
 def write_tasks(df: DataFrame, path: str) -> None:
-    """Replace the task CSV folder at ``path``: written beside it first, then renamed into place."""
+    """Replace the task CSV folder at ``path``: written beside it first, then renamed into place.
+
+    Rows keep the order in which they were read; appended rows come last, by key. Between the two
+    renames the folder does not exist; if the job ends there, the old table is beside it under a
+    name that ends in ``.old``.
+    """
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    if POSITION in df.columns:
+        others = sorted(c for c in df.columns if c in ("repository", "run_id", "job_id"))
+        df = df.orderBy(F.col(POSITION).isNull(), POSITION, *others)
     serialised(df.drop(POSITION)).write.option("header", True).option("escape", '"').option(
         "emptyValue", ""
     ).csv(staged)
