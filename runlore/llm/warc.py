@@ -134,9 +134,11 @@ def resolve(records: DataFrame) -> DataFrame:
         .groupBy("__id", "__hash")
         .agg(F.min("payload").alias("payload"))
     )
-    met = stated.withColumn("__s", F.when(F.col("used"), F.col("source"))).join(
-        bodies, (F.col("__s.id") == F.col("__id")) & (F.col("__s.hash") == F.col("__hash")), "left"
+    # records without a source have no hash, so they match nothing; their own id spreads them
+    own = stated.withColumn("__s", F.when(F.col("used"), F.col("source"))).withColumn(
+        "__to", F.coalesce("__s.id", F.xxhash64("record_id"))
     )
+    met = own.join(bodies, (F.col("__to") == F.col("__id")) & (F.col("__s.hash") == F.col("__hash")), "left")
     return met.select(
         "record_id", "url_key", "state", F.col("__s.id").alias("source_id"), merged.alias("headers"), "payload"
     )
