@@ -55,6 +55,13 @@ def _(t: Tables):
     return tasks.resolve_tasks(_tasks(t))
 
 
+@case("a03_applied_to_rows", f"""
+SELECT n.repository, n.run_id, CASE WHEN n.repository = 'org/r1' THEN r.collected ELSE n.collected END AS collected, n.note, n.row_number
+FROM ({NORMAL}) n JOIN ({_resolved(False)}) r USING (repository, run_id)""")
+def _(t: Tables):
+    return tasks.resolve_rows(_tasks(t), ["org/r1"]).withColumnRenamed(tasks.POSITION, "row_number")
+
+
 @case("a03_resolved_tasks_overwrite", _resolved(True))
 def _(t: Tables):
     return tasks.resolve_tasks(_tasks(t), overwrite=True)
@@ -289,16 +296,27 @@ def _(t: Tables):
     return history.load_history(t.spark, stored).select("repository", "run_id", "conclusion", "created_at")
 
 
-@case("f1_streamed_fresh_runs", "SELECT repository, run_id, conclusion, epoch_us(created_at) AS created_at FROM {runs}")
+_RUN_COLUMNS = [c.split(" ")[0] for c in TABLES["runs"].split(", ")]
+_ARRIVED = "SELECT repository, run_id, conclusion, epoch_us(created_at) AS created_at FROM {runs}"
+
+
+def _fresh(t: Tables, parts: list):
+    arrived, stored, progress = _folder(t, "arrivals"), _folder(t, "fresh"), _folder(t, "fresh-progress")
+    for part in parts:
+        part.select(*_RUN_COLUMNS).write.mode("append").parquet(arrived)
+        ingest.start_fresh_runs(ingest.stream_table(t.spark, arrived, TABLES["runs"]), stored, progress).awaitTermination()
+    return t.spark.read.parquet(stored).select("repository", "run_id", "conclusion", "created_at")
+
+
+@case("f1_streamed_fresh_runs", _ARRIVED)
 def _(t: Tables):
-    arrived, stored = _folder(t, "arrivals"), _folder(t, "fresh")
-    columns = [c.split(" ")[0] for c in TABLES["runs"].split(", ")]
     # every run arrives twice
-    t["runs"].select(*columns).union(t["runs"].select(*columns)).write.parquet(arrived)
-    fresh = ingest.fresh_runs(ingest.stream_table(t.spark, arrived, TABLES["runs"]), "60 days")
-    query = (
-        fresh.writeStream.format("parquet").option("path", stored).option("checkpointLocation", _folder(t, "fresh-progress"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return t.spark.read.schema(TABLES["runs"]).parquet(stored).select("repository", "run_id", "conclusion", "created_at")
+    return _fresh(t, [t["runs"].union(t["runs"])])
+
+
+@case("f1_streamed_late_runs", _ARRIVED)
+def _(t: Tables):
+    """The newer half of the runs arrives first, then all of them, the old ones weeks late."""
+    middle = t["runs"].agg(F.percentile(F.unix_micros("created_at"), 0.5)).first()[0]
+    newer = F.unix_micros("created_at") >= F.lit(int(middle))
+    return _fresh(t, [t["runs"].filter(newer), t["runs"]])

@@ -12,6 +12,7 @@ from runlore.functions.testlogs import parser_name, test_facts
 from runlore.operators import changes, commits, people, repositories, runs, slices
 from runlore.operators.ordered import join_facts
 from runlore.operators.runs import RUN_KEY
+from runlore.plans.pruning import only, within
 from runlore.plans.settings import Settings
 
 Tables = Mapping[str, DataFrame]
@@ -80,14 +81,33 @@ def _base(selected: DataFrame, tables: Tables, facts: DataFrame, skew, target_ro
     )
 
 
-def _change_columns(selected: DataFrame, tables: Tables, context: DataFrame, s: Settings, skew) -> DataFrame:
-    """Columns of the head commit's own change; only for runs whose head has a parent."""
-    counts = repositories.manifest_counts(tables["file_contents"])
+def needed_commits(tables: Tables, selected: DataFrame) -> dict[str, DataFrame]:
+    """The commit tables with the head commits of the selected runs and, where compared, their parents.
+
+    Patches, symbols and manifests are read after this.
+    """
+    key = ["repository", "sha"]
+    heads = selected.select("repository", F.col("head_sha").alias("sha"))
+    own = only(tables["commits"], heads, key)
+    both = heads.unionByName(own.select("repository", F.col("parent_sha").alias("sha")))
+    kept = {"commits": own}
+    kept |= {n: only(tables[n], heads, key) for n in ("commit_files", "file_metrics") if n in tables}
+    return kept | {n: only(tables[n], both, key) for n in ("java_symbols", "file_contents")}
+
+
+def _change_columns(
+    selected: DataFrame, tables: Tables, near: Tables, context: DataFrame, s: Settings, skew
+) -> DataFrame:
+    """Columns of the head commit's own change; only for runs whose head has a parent.
+
+    ``near`` holds the tables of the commits to compare, ``tables`` those of the whole history.
+    """
+    counts = repositories.manifest_counts(near["file_contents"])
     per_commit = changes.commit_change_features(
-        tables["commits"], tables["commit_files"], tables["java_symbols"], counts, s.case_insensitive_docker
+        near["commits"], near["commit_files"], near["java_symbols"], counts, s.case_insensitive_docker
     ).withColumnRenamed("dependencies_count", "__commit_dependencies")
     if s.enabled("fetch_sloc"):
-        per_commit = per_commit.join(repositories.code_size(tables["file_metrics"]), ["repository", "sha"], "left")
+        per_commit = per_commit.join(repositories.code_size(near["file_metrics"]), ["repository", "sha"], "left")
     per_commit = per_commit.withColumnRenamed("sha", "head_sha")
     hot = slices.hotspot_touched(
         selected, context, tables["run_commits"], tables["commit_files"], s.hotspot_days, cuts=skew, target_rows=s.target_rows
@@ -100,7 +120,9 @@ def _change_columns(selected: DataFrame, tables: Tables, context: DataFrame, s:
     )
 
 
-def _history_columns(selected: DataFrame, tables: Tables, context: DataFrame, s: Settings, skew) -> list[DataFrame]:
+def _history_columns(
+    selected: DataFrame, tables: Tables, all_runs: DataFrame, context: DataFrame, s: Settings, skew
+) -> list[DataFrame]:
     known, files = tables["commits"], tables["commit_files"]
     limit = {"cuts": skew, "target_rows": s.target_rows}
     return [
@@ -111,7 +133,7 @@ def _history_columns(selected: DataFrame, tables: Tables, context: DataFrame, s:
         runs.previous_run(context, **limit),
         runs.failure_history(context, s.history_weeks, s.recent_weeks, **limit),
         slices.repository_experience(selected, known, s.experience_weeks, **limit),
-        slices.cross_project_experience(selected, tables["runs"], s.large_repository_runs, s.large_repositories),
+        slices.cross_project_experience(selected, all_runs, s.large_repository_runs, s.large_repositories),
         runs.concurrent_jobs(selected, tables["jobs"]),
         commits.same_files_as_previous(context, known, files, **limit),
         commits.ci_config_churn(selected, known, files, s.churn_weeks, **limit),
@@ -126,10 +148,15 @@ def _with_defaults(df: DataFrame) -> DataFrame:
 def run_features(tables: Tables, selected: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
     """Feature rows of the selected runs (all runs by default), columns by enabled group.
 
-    All parts are keyed by (repository, run_id), so the row side is exchanged once for all joins.
+    All parts are keyed by (repository, run_id), so the row side is exchanged once for all joins. With a
+    selection, every table is first restricted to its repositories, the commit tables to the commits
+    that are compared, and the logs to the selected runs' jobs.
     """
     s = settings or Settings()
-    selected = tables["runs"] if selected is None else selected
+    all_runs, partial = tables["runs"], selected is not None
+    selected = all_runs if selected is None else selected
+    if partial:
+        tables = within(tables, selected)
     code = s.enabled("fetch_sloc") or s.enabled("fetch_commit_details")
     facts = repository_facts(tables)
 
@@ -140,8 +167,9 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
     rows = _base(selected, tables, facts, skew, s.target_rows)
     columns = list(schemas.RUN_BASE)
     if code:
-        rows = rows.join(_change_columns(selected, tables, context, s, skew), RUN_KEY, "left")
-        for part in _history_columns(selected, tables, context, s, skew):
+        near = needed_commits(tables, selected) if partial else tables
+        rows = rows.join(_change_columns(selected, tables, near, context, s, skew), RUN_KEY, "left")
+        for part in _history_columns(selected, tables, all_runs, context, s, skew):
             rows = rows.join(part, RUN_KEY, "left")
         rows = rows.withColumn(
             "dependencies_count", F.coalesce("__commit_dependencies", "dependencies_count")
@@ -151,7 +179,11 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
             rows = rows.withColumns({c: F.lit(None).cast(kinds.get(c, "long")) for c in schemas.RUN_SIZE})
         columns += schemas.RUN_SIZE + schemas.RUN_DIFF + schemas.RUN_SYMBOLS + schemas.RUN_HISTORY
     if s.enabled("fetch_test_parsing_results"):
-        tests = test_totals(selected, tables["jobs"], tables["job_logs"], facts, spread=skew is None)
+        jobs, logs = tables["jobs"], tables["job_logs"]
+        if partial:
+            jobs = only(jobs, selected, RUN_KEY)
+            logs = only(logs, jobs, ["repository", "job_id"])
+        tests = test_totals(selected, jobs, logs, facts, spread=skew is None)
         rows = rows.join(tests, RUN_KEY, "left")
         columns += schemas.RUN_TESTS
     if s.enabled("fetch_job_details"):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,7 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
@@ -43,13 +46,40 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+# Tables that cut_lineage wrote in this process and that are still there.
+_written: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and read it from there.
 
     A written table serves each later branch only the columns it needs, and its size is known to the
-    optimizer. It outlives lost executors, like a checkpoint.
+    optimizer. It outlives lost executors, like a checkpoint. It stays until ``remove_tables`` or the
+    end of a ``temporary_tables`` block, because frames that read it may still be used.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/runlore-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that cut_lineage wrote, from the ``since``-th on, and say how many there were."""
+    paths = _written[since:]
+    del _written[since:]
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables written inside the block when it ends; write or collect results within it."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        remove_tables(spark, before)
