@@ -256,13 +256,17 @@ def test_previous_jobs(table):
     def job(i, run, name, started):
         return dict(repository="o/a", job_id=i, run_id=run, name=name, started_at=ts(started))
 
-    context = table("runs", [dict(repository="o/a", run_id=i, workflow_id=w, created_at=ts(t)) for i, w, t in
-                             [(1, 7, "2023-11-01"), (2, 7, "2024-01-01"), (3, 8, "2024-01-02"), (4, 7, "2024-01-03"), (5, 7, "2024-01-04")]])
+    # candidates are finished runs; run 6 was cancelled and lies between runs 2 and 4
+    context = table("runs", [dict(repository="o/a", run_id=i, workflow_id=w, conclusion=c, created_at=ts(t)) for i, w, c, t in
+                             [(1, 7, "success", "2023-11-01"), (2, 7, "failure", "2024-01-01"), (6, 7, "cancelled", "2024-01-02"),
+                              (3, 8, "success", "2024-01-02"), (4, 7, "success", "2024-01-03"), (5, 7, None, "2024-01-04")]])
     listed = table("jobs", [job(10, 1, "t", "2023-11-01"), job(20, 2, "t", "2024-01-01 01:00"), job(40, 4, "t", "2024-01-03 01:00"),
                             job(41, 4, "t", "2024-01-03 02:00"), job(42, 4, "t", "2024-01-03 03:00"), job(50, 5, "other", "2024-01-04")])
     got = {r.job_id: r.prev_job_id for r in jobs.previous_jobs(listed, context).collect()}
     # 20: the run before is too old; 40: the workflow's run before; 41, 42: the attempt before; 50: no such job
     assert got == {10: None, 20: None, 40: 20, 41: 40, 42: 41, 50: None}
+    chosen = listed.filter("job_id in (40, 42)")
+    assert {r.job_id: r.prev_job_id for r in jobs.previous_jobs(listed, context, selected=chosen).collect()} == {40: 20, 42: 41}
 
 
 def test_steps(spark):
