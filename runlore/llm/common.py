@@ -47,3 +47,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(
         F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     )
+
+
+def row_id(df: DataFrame) -> Column:
+    """128 bits over all columns as text, the same for equal rows only.
+
+    A hash passes over nulls, so which columns are null is hashed as well; 64 bits would make some
+    different rows of a very large table equal.
+    """
+    names = [F.col(f"`{c}`") for c in df.columns]
+    parts = [*names, *[c.isNull() for c in names]]
+    return F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit("second"), *parts)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlore.llm.common import small, stored
+from runlore.llm.common import row_id, small, stored
 from runlore.llm.spans import let
 
 WEIGHTS = (5, 2, 1)
@@ -24,8 +24,6 @@ FAN = 48
 SEED = 20
 _WORD = r"[^\x20\x09-\x0D]+"
 _SNAP = 1e-12
-_UNIT = "struct<size:bigint,h:bigint,id:bigint,occ:int,p:double>"
-_ACC = f"struct<open:{_UNIT},done:array<{_UNIT}>>"
 
 
 def size_of(text: Column) -> Column:
@@ -71,11 +69,19 @@ def _snapped(p: Column) -> Column:
     return F.when(p < _SNAP, 0.0).when(p > 1 - _SNAP, 1.0).otherwise(p)
 
 
-def _with(unit: Column, p: Column) -> Column:
-    return F.struct(*[unit[f].alias(f) for f in ("size", "h", "id", "occ")], p.alias("p")).cast(_UNIT)
+def _unit_type(id_type: str) -> str:
+    return f"struct<size:bigint,h:bigint,id:{id_type},occ:int,p:double>"
 
 
-def _meet(acc: Column, b: Column) -> Column:
+def _acc_type(kind: str) -> str:
+    return f"struct<open:{kind},done:array<{kind}>>"
+
+
+def _with(unit: Column, p: Column, kind: str) -> Column:
+    return F.struct(*[unit[f].alias(f) for f in ("size", "h", "id", "occ")], p.alias("p")).cast(kind)
+
+
+def _meet(acc: Column, b: Column, kind: str) -> Column:
     """Let the open document of ``acc`` and ``b`` exchange mass until one is decided."""
     a = acc["open"]
 
@@ -91,14 +97,14 @@ def _meet(acc: Column, b: Column) -> Column:
 
     def outcome(p: Column) -> Column:
         whole = lambda v: (v == 0.0) | (v == 1.0)
-        none = F.array().cast(f"array<{_UNIT}>")
-        still = F.when(~whole(p["a"]), _with(a, p["a"])).when(~whole(p["b"]), _with(b, p["b"]))
+        none = F.array().cast(f"array<{kind}>")
+        still = F.when(~whole(p["a"]), _with(a, p["a"], kind)).when(~whole(p["b"]), _with(b, p["b"], kind))
         done = F.concat(
             acc["done"],
-            F.when(whole(p["a"]), F.array(_with(a, p["a"]))).otherwise(none),
-            F.when(whole(p["b"]), F.array(_with(b, p["b"]))).otherwise(none),
+            F.when(whole(p["a"]), F.array(_with(a, p["a"], kind))).otherwise(none),
+            F.when(whole(p["b"]), F.array(_with(b, p["b"], kind))).otherwise(none),
         )
-        return F.struct(still.alias("open"), done.alias("done")).cast(_ACC)
+        return F.struct(still.alias("open"), done.alias("done")).cast(_acc_type(kind))
 
     masses = F.struct(
         (a["p"] * a["size"]).alias("a_mass"), ((1 - a["p"]) * a["size"]).alias("a_room"),
@@ -108,7 +114,7 @@ def _meet(acc: Column, b: Column) -> Column:
         m["a_mass"].alias("a_mass"), m["a_room"].alias("a_room"), m["b_mass"].alias("b_mass"), m["b_room"].alias("b_room"),
         F.least(m["a_room"], m["b_mass"]).alias("up"), F.least(m["a_mass"], m["b_room"]).alias("down"),
     ))
-    first = F.struct(b.alias("open"), acc["done"].alias("done")).cast(_ACC)
+    first = F.struct(b.alias("open"), acc["done"].alias("done")).cast(_acc_type(kind))
     return F.when(a.isNull(), first).otherwise(let(amounts, lambda m: let(moved(m), outcome)))
 
 
@@ -117,15 +123,16 @@ def _node(rows: DataFrame) -> DataFrame:
 
     Large documents come first, so that the one left open tends to be small.
     """
-    unit = F.struct("size", "h", "id", "occ", "p").cast(_UNIT)
+    kind = _unit_type(rows.schema["id"].dataType.simpleString())
+    unit = F.struct("size", "h", "id", "occ", "p").cast(kind)
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), F.col("h"), unit.alias("unit"))))
-    zero = F.struct(F.lit(None).cast(_UNIT).alias("open"), F.array().cast(f"array<{_UNIT}>").alias("done")).cast(_ACC)
+    zero = F.struct(F.lit(None).cast(kind).alias("open"), F.array().cast(f"array<{kind}>").alias("done")).cast(_acc_type(kind))
     units = F.transform(ordered, lambda x: x["unit"])
-    return rows.groupBy("source", "node").agg(F.aggregate(units, zero, _meet).alias("acc")).select("source", "node", "acc.*")
+    return rows.groupBy("source", "node").agg(F.aggregate(units, zero, lambda acc, b: _meet(acc, b, kind)).alias("acc")).select("source", "node", "acc.*")
 
 
 def copies(units: DataFrame) -> DataFrame:
-    """id, source, size, source_size, target and copies of each row of (id, source, size).
+    """id, source, size, source_size, target and copies of each row of (id, source, size); ids are of any type.
 
     Rows are told apart by their values and, where equal, by a running number. Leaves of the tree
     are chosen by a hash and hold about FAN documents of one source, however large the source; each
@@ -190,8 +197,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     A row with copies 0 is not part of the mix. Equal rows come out once, with their copies added up.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("__row", F.xxhash64(*names))
+    marked = docs.withColumn("__row", row_id(docs))
     units = stored(marked.select(F.col("__row").alias("id"), "source", size_of(F.col("text")).alias("size")))
     per = copies(units).groupBy("id").agg(
         *[F.max(c).alias(f"__{c}") for c in ("size", "source_size", "target")], F.sum("copies").alias("__copies")

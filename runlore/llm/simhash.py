@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlore.llm.common import stored
+from runlore.llm.common import row_id, stored
 from runlore.llm.components import components
 
 # 64 bits in five blocks. Two fingerprints that differ in at most 3 bits agree in at least two of
@@ -58,13 +58,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, of each row of (doc_id, text).
+    """doc_id, of whatever type, and ``fp``, the fingerprint as a signed long, of each row of (doc_id, text).
 
     A null or empty text, or one of spaces only, has the fingerprint zero. Whole texts are read;
     the text reaches the workers as bytes.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints, rows.drop("text").schema.add("fp", "long"))
 
 
 def _block_keys(fp: Column) -> Column:
@@ -170,11 +170,10 @@ def op4(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id (rows without one come last).
 
-    Several rows with that doc_id: the one whose hash over all columns is smallest; equal rows stay
+    Several rows with that doc_id: the one whose row_id is smallest; equal rows stay
     once. Columns are those of ``docs``.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.withColumn("__row", row)
+    marked = docs.withColumn("__row", row_id(docs))
     # the hash stands in for doc_id, so that repeated ids are told apart
     found = near_duplicates(marked.select(F.col("__row").alias("doc_id"), "text"))
     ids = marked.select(F.col("__row").alias("row"), "doc_id").distinct()

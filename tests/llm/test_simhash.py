@@ -4,7 +4,8 @@ import random
 
 import xxhash
 
-from runlore.llm import simhash
+from runlore.llm import mixing, simhash
+from runlore.llm.common import row_id
 from runlore.llm.components import components
 
 
@@ -79,3 +80,10 @@ def test_empty_table_and_repeated_rows(docs_of):
     assert sorted(map(str, (r.component_id for r in simhash.op4(docs_of(rows)).collect()))) == ["1", "2", "2", "2", "7", "7"]
     kept = simhash.dedup(docs_of(rows))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "other text"), (2, "same words here"), (7, "")]
+
+
+def test_rows_that_differ_in_where_a_null_stands(docs_of):
+    rows = docs_of([(1, "one text", "a", None), (1, "one text", None, "a"), (1, "one text", None, "a")])
+    assert rows.select(row_id(rows)).distinct().count() == 2
+    assert simhash.dedup(rows).count() == 1
+    assert mixing.mixed(rows).count() == 2
