@@ -161,10 +161,14 @@ def failure_history(
         levels={"repo": ["repository"], "actor": ["repository", "actor_id"]},
         ids=[*RUN_KEY, "__bad"],
         at="__at",
-        whole="all",
         cuts=cuts,
         target_rows=target_rows,
     )
+    if denominator == "context":
+        # runs without a time count as well, so this is a plain count and no point of the time line
+        totals = narrow.groupBy("repository").agg(F.count(F.lit(1)).alias("all_repo_runs"))
+        spread = cuts.any if cuts is not None else has_hot_group(narrow, ["repository"], target_rows)
+        sums = join_facts(sums, totals, ["repository"], "run_id", spread)
     own_run = F.lit(0) if include_current else F.lit(1)
     own_failure = F.lit(0) if include_current else F.col("__bad")
     columns = []
