@@ -82,9 +82,10 @@ def calibrated(
     patterns: np.ndarray, positive: np.ndarray, total: np.ndarray, folds: np.ndarray, features: int,
     precision: float, least: int,
 ) -> Boosted:
-    """Fit on folds other than 0 and choose the lowest margin at which fold 0 keeps ``precision``.
+    """Fit on folds other than 0 and lower the threshold from the highest margin until fold 0 first fails.
 
-    The threshold is None, so that nothing is selected, where no margin does on ``least`` positives.
+    It fails where less than ``precision`` of all above is positive, or of one margin that has ``least``
+    values or more. The threshold is None, so that nothing is selected, without ``least`` positives above.
     """
     fitted, held = folds != 0, folds == 0
     if not fitted.any() or not held.any():
@@ -93,8 +94,11 @@ def calibrated(
     margin = np.round(base + _margins((patterns[held, None] >> np.arange(features)) & 1, trees), 9)
     threshold = None
     for value in np.unique(margin)[::-1]:
-        above = margin >= value
+        above, level = margin >= value, margin == value
         good, every = positive[held][above].sum(), total[held][above].sum()
-        if good >= least and good >= precision * every:
+        own, size = positive[held][level].sum(), total[held][level].sum()
+        if good < precision * every or (size >= least and own < precision * size):
+            break
+        if good >= least:
             threshold = float(value) - 1e-6
     return Boosted(base, tuple(trees), threshold)

@@ -1,10 +1,11 @@
 """Personal data in texts: base patterns, and further spans chosen by boosted trees.
 
 Four base patterns with a check each always count. Two generators with high recall propose more
-spans. Whether a proposal holds a checked base match is its label; trees learn it from its
-format and the words before it, not from the check itself, and a threshold calibrated on proposals
-kept from fitting selects the proposals that look like personal data although no base match is in
-them, such as a phone number without its country code.
+spans. Positives are checked base matches, as they stand and written in the other ways that people
+use: a phone without its country code, an address with (at). A proposal without a base match is not
+thereby a negative: one of the same form as many positives has no label and is left out of fitting
+and calibration. Trees learn from format and the words before, and a threshold calibrated on values
+kept from fitting selects the proposals that look like personal data.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ GENERATORS = {
     ),
 }
 CONTEXT = 24
-# At least this share of what a threshold selects in the calibration fold has a base match, and at
-# least this many proposals do.
+# At least this share of the labelled distinct values that a threshold selects in the calibration fold
+# is positive, and at least this many are.
 PRECISION = 0.97
 LEAST = 20
 
@@ -61,10 +62,10 @@ def _checked(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
+def base_spans(text: Column, kind: str, context: int = 0) -> Column:
     """Checked matches of one base pattern, as find_all gives them."""
     guard = {"email": "@", "ip": ".", "phone": "+"}.get(kind)
-    found = F.filter(find_all(text, PATTERNS[kind]), lambda m: _checked(kind, m["value"]))
+    found = F.filter(find_all(text, PATTERNS[kind], context), lambda m: _checked(kind, m["value"]))
     return found if guard is None else F.when(F.contains(text, F.lit(guard)), found).otherwise(F.slice(found, 1, 0))
 
 
@@ -98,14 +99,19 @@ def _features(value: Column, before: Column) -> list[Column]:
         F.rlike(near, F.lit(r"\b(tel|telephone|phone|call|fax|mobile|cell)\b")),
         F.rlike(near, F.lit(r"\b(card|visa|credit|debit|payment)\b")),
         F.rlike(near, F.lit(r"\b(ip|host|server|address|mail|e-mail|email|contact)\b")),
+        F.rlike(value, F.lit(r"[(\[]at[)\]]")),
+        F.rlike(value, F.lit(r"[(\[]dot[)\]]|[A-Za-z0-9-]\.[A-Za-z0-9-]")),
     ]
 
 
-_WIDTH = 20
+_WIDTH = 22
+# Separators, words before a phone and a written @: bare digits without these have no form by which to
+# tell a phone from an order number.
+_FORM = 0b111111 | 1 << 17 | 1 << 20
 
 
 def _pattern(value: Column, before: Column) -> Column:
-    """The features as bits of a long; there are at most 2^20 patterns, and far fewer occur."""
+    """The features as bits of a long; there are at most 2^22 patterns, and far fewer occur."""
     bits = [F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(_features(value, before))]
     return reduce(lambda a, b: a + b, bits)
 
@@ -118,28 +124,70 @@ def proposals(text: Column, generator: str) -> Column:
     return F.when(F.rlike(text, F.lit(r"@|[(\[]at[)\]]")), found).otherwise(F.slice(found, 1, 0))
 
 
+def _forms(kind: str, value: Column) -> Column:
+    """A base match as it stands and in the other ways of writing it."""
+    part = lambda n: F.substring_index(value, "@", n)
+    again = lambda at, dot: F.concat(part(1), F.lit(at), F.replace(part(-1), F.lit("."), F.lit(dot)))
+    if kind == "email":
+        ways = [again(f"{gap}{a}at{b}{gap}", dot) for a, b in ("()", "[]") for gap in ("", " ") for dot in (".", f"{gap}{a}dot{b}{gap}")]
+        return F.array(value, *ways)
+    if kind == "phone":
+        return F.array_distinct(F.array(value, F.regexp_replace(value, r"^\+[0-9]{1,3}[\x20.-]*(?=[(\x20.-])[\x20.-]*(?=[(0-9])", "")))
+    if kind == "card":
+        return F.array_distinct(F.array(value, F.regexp_replace(value, r"[\x20-]", "."), F.regexp_replace(value, r"[\x20-]", "/")))
+    return F.array(value)
+
+
+def _examples(docs: DataFrame, generator: str) -> DataFrame:
+    """value, before, fold and rank: all ways to write the checked base matches of a generator's kinds, and,
+    with rank -1, its proposals without a base match. All ways of one value share its fold."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    kinds = GENERATORS[generator][1]
+    row = lambda value, of, before, rank: F.struct(value.alias("value"), of.alias("of"), before.alias("before"), F.lit(rank).alias("rank"))
+
+    def positives(kind: str) -> Column:
+        ways = lambda m: F.transform(_forms(kind, m["value"]), lambda v: row(v, m["value"], m["before"], KINDS.index(kind)))
+        return F.flatten(F.transform(base_spans(text, kind, CONTEXT), ways))
+
+    none = lambda p: reduce(lambda a, b: a & b, [~_holds(k, p["value"]) for k in kinds])
+    others = F.transform(F.filter(proposals(text, generator), none), lambda p: row(p["value"], p["value"], p["before"], -1))
+    rows = docs.select(F.explode(F.concat(*[positives(k) for k in kinds], others)).alias("p")).select("p.*")
+    return rows.withColumn("fold", F.pmod(F.xxhash64("of"), F.lit(3))).drop("of")
+
+
 def train(docs: DataFrame) -> dict[tuple[str, str], Boosted]:
-    """One calibrated model per generator and kind, from the proposals in all texts.
+    """One calibrated model per generator and kind, from the base matches and proposals in all texts.
 
-    Spark counts (feature pattern, labels, fold); these counts, bounded by the number of patterns,
-    reach the driver.
+    Spark counts the distinct values of (feature pattern, rank, fold); these counts, bounded by the
+    number of patterns, reach the driver. A card's digits tell its label in any form, and a value that
+    the base pattern of its kind rejects is a negative; other proposals of the form of at least
+    LEAST positives have no label for a phone or an address.
     """
     models = {}
-    text = F.coalesce(F.col("text"), F.lit(""))
     for generator, (_, kinds) in GENERATORS.items():
-        rows = docs.select(F.explode(proposals(text, generator)).alias("p")).select("p.value", "p.before")
-        labels = [_holds(k, F.col("value")).cast("long").alias(f"is_{k}") for k in kinds]
-        fold = F.pmod(F.xxhash64("value"), F.lit(3)).alias("fold")
+        value, free = F.col("value"), F.col("rank") == -1
+        card = free & ~F.startswith(value, F.lit("+")) & _checked("card", value)
+        rejected = free & F.startswith(value, F.lit("+"))
         counted = (
-            rows.select(_pattern(F.col("value"), F.col("before")).alias("pattern"), fold, *labels)
-            .groupBy("pattern", "fold")
-            .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"is_{k}").alias(f"is_{k}") for k in kinds])
+            _examples(docs, generator)
+            .select(_pattern(value, F.col("before")).alias("pattern"), "fold", "rank", "value", card.alias("card"), rejected.alias("rejected"))
+            .distinct()
+            .groupBy("pattern", "fold", "rank", "card", "rejected")
+            .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
         column = lambda name: np.array([r[name] for r in counted], np.int64)  # noqa: B023, E731
+        pattern, fold, rank, n = (column(c) for c in ("pattern", "fold", "rank", "n"))
         for kind in kinds:
+            positive = (rank == KINDS.index(kind)) | ((kind == "card") & (column("card") == 1))
+            labelled = np.ones(len(n), bool)
+            if kind in ("phone", "email"):
+                sure = positive & (fold != 0)
+                alike, place = np.unique(pattern[sure], return_inverse=True)
+                alike = alike[np.bincount(place, n[sure], len(alike)) >= LEAST]
+                labelled = ~((rank == -1) & (column("rejected") == 0) & np.isin(pattern, alike) & (pattern & _FORM != 0))
             models[generator, kind] = calibrated(
-                column("pattern"), column(f"is_{kind}"), column("n"), column("fold"), _WIDTH, PRECISION, LEAST
+                pattern[labelled], (n * positive)[labelled], n[labelled], fold[labelled], _WIDTH, PRECISION, LEAST
             )
     return models
 

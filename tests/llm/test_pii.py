@@ -78,6 +78,30 @@ def test_phones_without_a_country_code_are_added(docs_of):
     assert got[1000] == "phone:11:25" and got[1001] == ""
 
 
+def test_frequent_forms_without_a_base_match_are_added(docs_of):
+    pick = random.Random(4)
+    number = lambda: f"({pick.randrange(200, 999)}) 555-{pick.randrange(1000, 9999)}"
+    name = lambda: "".join(pick.choice("abcdefgh") for _ in range(8))
+    rows = [(i, f"call me at +1 {number()} or {name()}@{name()}.org today") for i in range(400)]
+    rows += [(i, f"call me at {number()} today") for i in range(400, 1000)]
+    rows += [(i, f"write to {name()} (at) {name()} (dot) org today") for i in range(1000, 1500)]
+    rows += [(i, "call me at (743) 555-3824 today") for i in range(1500, 2500)]
+    rows += [(i, f"order {pick.randrange(10**7, 10**8)}/{i}, meet me @ {name()}. Then go") for i in range(2500, 2800)]
+    got = {r.doc_id: r.spans for r in pii.op5(docs_of(rows)).collect()}
+    assert {got[i] for i in range(400, 1000)} | {got[i] for i in range(1500, 2500)} == {"phone:11:25"}
+    assert {got[i] for i in range(1000, 1500)} == {"email:9:41"}
+    assert {got[i] for i in range(2500, 2800)} == {""}
+
+
+def test_the_threshold_stops_where_precision_first_fails():
+    patterns, folds = np.repeat(np.arange(4), 3), np.tile(np.arange(3), 4)
+    total = np.repeat([1000, 1000, 40, 1000], 3)
+    positive = np.repeat([0, 0, 20, 1000], 3)
+    model = boost.calibrated(patterns, positive, total, folds, 2, 0.97, 20)
+    margin = model.base + boost._margins((np.arange(4)[:, None] >> np.arange(2)) & 1, list(model.trees))
+    assert (margin >= model.threshold).tolist() == [False, False, False, True]
+
+
 def test_redaction_removes_spans_and_keeps_the_rest(docs_of):
     rows = [*texts(), "+1 555 123 4567.x@mail.com end"]
     docs = docs_of(list(enumerate(rows)))
