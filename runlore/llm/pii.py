@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore.llm.boost import Boosted, calibrated
-from runlore.llm.spans import find_all, joined, let, masked, ranked
+from runlore.llm.spans import apart, find_all, joined, let, masked, outermost, ranked, scan
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -39,6 +39,12 @@ GENERATORS = {
         ("email",),
     ),
 }
+# Parts of a run that neither spaces, slashes nor brackets cut.
+_PART = r"\+?\(?[0-9]++(?:[.-][0-9]++)*+"
+# Digits of what is proposed from some parts of a run; no more parts than digits can belong to it.
+_FEWEST, _MOST = 7, 19
+# Addresses again, without a space beside a plain dot, which may end a sentence.
+_TIGHT = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?)[A-Za-z0-9-]++)*+"
 CONTEXT = 24
 # At least this share of the labelled distinct values that a threshold selects in the calibration fold
 # is positive, and at least this many are.
@@ -69,11 +75,6 @@ def base_spans(text: Column, kind: str, context: int = 0) -> Column:
     return found if guard is None else F.when(F.contains(text, F.lit(guard)), found).otherwise(F.slice(found, 1, 0))
 
 
-def _holds(kind: str, value: Column) -> Column:
-    found = F.regexp_extract_all(value, F.lit(PATTERNS[kind]), F.lit(0))
-    return F.exists(found, lambda v: _checked(kind, v))
-
-
 def _features(value: Column, before: Column) -> list[Column]:
     near = F.lower(before)
     digits = F.length(_digits(value))
@@ -116,12 +117,61 @@ def _pattern(value: Column, before: Column) -> Column:
     return reduce(lambda a, b: a + b, bits)
 
 
-def proposals(text: Column, generator: str) -> Column:
-    """Proposed spans as (start, end, value, before)."""
+def _cut(run: Column) -> Column:
+    """A run and what consecutive parts of it make, where these have _FEWEST to _MOST digits."""
+
+    def spans(parts: Column, upto: Column) -> Column:
+        def text(i: Column, j: Column) -> Column:
+            piece = lambda p, k: F.when(k == 0, p["value"]).otherwise(F.concat(p["before"], p["value"]))
+            return F.array_join(F.transform(F.slice(parts, i + 1, j - i + 1), piece), "")
+
+        def begun(i: Column) -> Column:
+            last = F.least(i + _MOST - 1, F.size(parts) - 1)
+            number = lambda j: upto[j] - F.when(i == 0, F.lit(0)).otherwise(upto[i - 1])
+            part_of = lambda j: (j - i < F.size(parts) - 1) & number(j).between(_FEWEST, _MOST)
+            ends = F.filter(F.sequence(i, last), part_of)
+            return F.transform(
+                ends,
+                lambda j: F.struct(
+                    (run["start"] + parts[i]["start"]).alias("start"), (run["start"] + parts[j]["end"]).alias("end"),
+                    text(i, j).alias("value"), run["before"].alias("before"), F.lit(False).alias("whole"),
+                ),
+            )
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), begun))
+
+    def several(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.length(_digits(p["value"])))
+        return let(sizes, lambda n: let(scan(n, F.lit(0), lambda x, y: x + y), lambda upto: spans(parts, upto)))
+
+    return F.concat(F.array(_whole(run)), let(find_all(run["value"], _PART, 3), several))
+
+
+def _whole(m: Column) -> Column:
+    return F.struct(*[m[f].alias(f) for f in ("start", "end", "value", "before")], F.lit(True).alias("whole"))
+
+
+def _once(docs: DataFrame, name: str, value: Column) -> DataFrame:
+    """``docs`` with a column that is computed once, whatever reads it (explode of one element)."""
+    return docs.withColumn(name, F.explode(F.array(value)))
+
+
+def proposed(docs: DataFrame, generator: str, base: Column) -> DataFrame:
+    """``docs`` with ``__free``: proposed spans that overlap no span of ``base``, as (start, end, value, before, whole).
+
+    They may overlap each other. ``before`` are the words before the run, for its parts too; these are
+    not ``whole``. The steps are columns of their own, because lambdas that are nested too deeply are
+    not resolved.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
     found = find_all(text, GENERATORS[generator][0], CONTEXT)
-    if generator == "number":
-        return found
-    return F.when(F.rlike(text, F.lit(r"@|[(\[]at[)\]]")), found).otherwise(F.slice(found, 1, 0))
+    if generator == "address":
+        found = F.concat(found, find_all(text, _TIGHT, CONTEXT))
+        found = F.when(F.rlike(text, F.lit(r"@|[(\[]at[)\]]")), found).otherwise(F.slice(found, 1, 0))
+    runs = _once(docs, "__runs", found)
+    spans = F.flatten(F.transform("__runs", _cut)) if generator == "number" else F.transform("__runs", _whole)
+    cut = _once(runs, "__found", spans).drop("__runs")
+    return _once(cut, "__free", apart(F.col("__found"), base)).drop("__found")
 
 
 def _forms(kind: str, value: Column) -> Column:
@@ -140,18 +190,22 @@ def _forms(kind: str, value: Column) -> Column:
 
 def _examples(docs: DataFrame, generator: str) -> DataFrame:
     """value, before, fold and rank: all ways to write the checked base matches of a generator's kinds, and,
-    with rank -1, its proposals without a base match. All ways of one value share its fold."""
+    with rank -1, its proposals that overlap no base match. All ways of one value share its fold."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = GENERATORS[generator][1]
-    row = lambda value, of, before, rank: F.struct(value.alias("value"), of.alias("of"), before.alias("before"), F.lit(rank).alias("rank"))
+    row = lambda value, of, before, rank, whole: F.struct(
+        value.alias("value"), of.alias("of"), before.alias("before"), F.lit(rank).alias("rank"), whole.alias("whole")
+    )
 
     def positives(kind: str) -> Column:
-        ways = lambda m: F.transform(_forms(kind, m["value"]), lambda v: row(v, m["value"], m["before"], KINDS.index(kind)))
-        return F.flatten(F.transform(base_spans(text, kind, CONTEXT), ways))
-
-    none = lambda p: reduce(lambda a, b: a & b, [~_holds(k, p["value"]) for k in kinds])
-    others = F.transform(F.filter(proposals(text, generator), none), lambda p: row(p["value"], p["value"], p["before"], -1))
-    rows = docs.select(F.explode(F.concat(*[positives(k) for k in kinds], others)).alias("p")).select("p.*")
+        ways = lambda m: F.transform(_forms(kind, m["value"]), lambda v: row(v, m["value"], m["before"], KINDS.index(kind), F.lit(True)))
+        return F.flatten(F.transform(F.col(f"__base.{kind}"), ways))
+
+    base = F.struct(*[base_spans(text, k, CONTEXT).alias(k) for k in KINDS])
+    every = F.concat(*[ranked(F.col(f"__base.{k}"), i) for i, k in enumerate(KINDS)])
+    found = proposed(_once(docs.select("text"), "__base", base), generator, every)
+    others = F.transform("__free", lambda p: row(p["value"], p["value"], p["before"], -1, p["whole"]))
+    rows = found.select(F.explode(F.concat(*[positives(k) for k in kinds], others)).alias("p")).select("p.*")
     return rows.withColumn("fold", F.pmod(F.xxhash64("of"), F.lit(3))).drop("of")
 
 
@@ -161,7 +215,8 @@ def train(docs: DataFrame) -> dict[tuple[str, str], Boosted]:
     Spark counts the distinct values of (feature pattern, rank, fold); these counts, bounded by the
     number of patterns, reach the driver. A card's digits tell its label in any form, and a value that
     the base pattern of its kind rejects is a negative; other proposals of the form of at least
-    LEAST positives have no label for a phone or an address.
+    LEAST positives have no label for a phone or an address. Parts of a run have none for a card, as
+    one in ten of any digits passes its check.
     """
     models = {}
     for generator, (_, kinds) in GENERATORS.items():
@@ -170,9 +225,9 @@ def train(docs: DataFrame) -> dict[tuple[str, str], Boosted]:
         rejected = free & F.startswith(value, F.lit("+"))
         counted = (
             _examples(docs, generator)
-            .select(_pattern(value, F.col("before")).alias("pattern"), "fold", "rank", "value", card.alias("card"), rejected.alias("rejected"))
+            .select(_pattern(value, F.col("before")).alias("pattern"), "fold", "rank", "value", "whole", card.alias("card"), rejected.alias("rejected"))
             .distinct()
-            .groupBy("pattern", "fold", "rank", "card", "rejected")
+            .groupBy("pattern", "fold", "rank", "whole", "card", "rejected")
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
@@ -180,42 +235,41 @@ def train(docs: DataFrame) -> dict[tuple[str, str], Boosted]:
         pattern, fold, rank, n = (column(c) for c in ("pattern", "fold", "rank", "n"))
         for kind in kinds:
             positive = (rank == KINDS.index(kind)) | ((kind == "card") & (column("card") == 1))
-            labelled = np.ones(len(n), bool)
+            labelled = (column("whole") == 1) | (kind != "card")
             if kind in ("phone", "email"):
                 sure = positive & (fold != 0)
                 alike, place = np.unique(pattern[sure], return_inverse=True)
                 alike = alike[np.bincount(place, n[sure], len(alike)) >= LEAST]
-                labelled = ~((rank == -1) & (column("rejected") == 0) & np.isin(pattern, alike) & (pattern & _FORM != 0))
+                labelled = labelled & ~((rank == -1) & (column("rejected") == 0) & np.isin(pattern, alike) & (pattern & _FORM != 0))
             models[generator, kind] = calibrated(
                 pattern[labelled], (n * positive)[labelled], n[labelled], fold[labelled], _WIDTH, PRECISION, LEAST
             )
     return models
 
 
-def _over_threshold(model: Boosted, rank: int, bits: Column) -> Column:
-    """(margin, rank) where the margin reaches the model's threshold, else null."""
-    return let(model.margin(bits), lambda m: F.when(m >= model.threshold, F.struct(m.alias("m"), F.lit(rank).alias("rank"))))
+def _over_threshold(model: Boosted, kind: str, bits: Column, value: Column) -> Column:
+    """(margin, rank) where the margin reaches the model's threshold and the digits allow the kind, else null."""
+    allowed = {"card": _checked("card", value), "phone": F.length(_digits(value)).between(_FEWEST, 15)}.get(kind, F.lit(True))
+    rank = F.lit(KINDS.index(kind))
+    return let(model.margin(bits), lambda m: F.when((m >= model.threshold) & allowed, F.struct(m.alias("m"), rank.alias("rank"))))
 
 
 def _number_of(spans: str, rank: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
 
 
-def added_spans(text: Column, generator: str, models: Mapping[tuple[str, str], Boosted]) -> Column | None:
-    """Selected proposals without a base match of the generator's kinds, as (start, rank, end)."""
+def added_spans(free: Column, generator: str, models: Mapping[tuple[str, str], Boosted]) -> Column:
+    """Selected ones of the proposals ``free`` that lie in no other, as (start, rank, end)."""
     kinds = [k for k in GENERATORS[generator][1] if models[generator, k].threshold is not None]
-    if not kinds:
-        return None
 
     def chosen(p: Column) -> Column:
         def best(bits: Column) -> Column:
-            return F.array_max(F.array(*[_over_threshold(models[generator, k], KINDS.index(k), bits) for k in kinds]))["rank"]
+            return F.array_max(F.array(*[_over_threshold(models[generator, k], k, bits, p["value"]) for k in kinds]))["rank"]
 
         rank = let(_pattern(p["value"], p["before"]), best)
-        none = reduce(lambda a, b: a & b, [~_holds(k, p["value"]) for k in GENERATORS[generator][1]])
-        return F.struct(p["start"].alias("start"), F.when(none, rank).alias("rank"), p["end"].alias("end"))
+        return F.struct(p["start"].alias("start"), rank.alias("rank"), p["end"].alias("end"))
 
-    return F.filter(F.transform(proposals(text, generator), chosen), lambda s: s["rank"].isNotNull())
+    return outermost(F.filter(F.transform(free, chosen), lambda s: s["rank"].isNotNull()))
 
 
 def detected(docs: DataFrame, models: Mapping[tuple[str, str], Boosted]) -> DataFrame:
@@ -225,11 +279,14 @@ def detected(docs: DataFrame, models: Mapping[tuple[str, str], Boosted]) -> Data
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[ranked(base_spans(text, k), i) for i, k in enumerate(KINDS)]))
-    more = [s for g in GENERATORS if (s := added_spans(text, g, models)) is not None]
-    # explode of one element: spans are found once, whatever reads them
-    found = docs.withColumn("__base", F.explode(F.array(base)))
-    every = F.array_sort(F.concat(F.col("__base"), *more)) if more else F.col("__base")
-    return found.withColumn("__all", every)
+    found, more = _once(docs, "__base", base), []
+    for generator, (_, kinds) in GENERATORS.items():
+        if all(models[generator, k].threshold is None for k in kinds):
+            continue
+        more.append(f"__{generator}")
+        added = added_spans(F.col("__free"), generator, models)
+        found = _once(proposed(found, generator, F.col("__base")), more[-1], added).drop("__free")
+    return found.withColumn("__all", F.array_sort(F.concat("__base", *more)) if more else F.col("__base")).drop(*more)
 
 
 def op5(docs: DataFrame) -> DataFrame:

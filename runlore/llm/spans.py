@@ -87,6 +87,46 @@ def ranked(found: Column, rank: int) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
 
 
+def apart(found: Column, spans: Column) -> Column:
+    """The matches that overlap none of ``spans``, in the order of their positions.
+
+    Both are sorted together: of the spans that begin before a match the last end counts, of the
+    others the first beginning.
+    """
+    far = F.lit(2**31 - 1)
+    event = lambda m, late, place: F.struct(
+        m["start"].alias("start"), F.lit(late).alias("late"), m["end"].alias("end"), place.alias("place")
+    )
+
+    def free(events: Column, matches: Column) -> Column:
+        own = F.transform(events, lambda e: F.when(e["late"] == 0, e["end"]).otherwise(F.lit(0)))
+        begins = F.transform(F.reverse(events), lambda e: F.when(e["late"] == 0, e["start"]).otherwise(far))
+        ends = let(own, lambda o: scan(o, F.lit(0), F.greatest))
+        nexts = let(begins, lambda b: let(scan(b, far, F.least), F.reverse))
+        fits = lambda e, before, after: (e["late"] == 1) & (before <= e["start"]) & (after >= e["end"])
+        kept = let(ends, lambda x: let(nexts, lambda y: F.filter(events, lambda e, i: fits(e, x[i], y[i]))))
+        return F.transform(kept, lambda e: matches[e["place"]])
+
+    def parted(matches: Column) -> Column:
+        taken = F.transform(spans, lambda s: event(s, 0, F.lit(-1)))
+        events = F.array_sort(F.concat(taken, F.transform(matches, lambda m, i: event(m, 1, i))))
+        return F.when((F.size(matches) == 0) | (F.size(spans) == 0), matches).otherwise(let(events, lambda e: free(e, matches)))
+
+    return let(found, parted)
+
+
+def outermost(spans: Column) -> Column:
+    """(start, rank, end) structs that lie in no other one, one of equal ones, sorted."""
+    wide = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["rank"].alias("rank"))))
+
+    def kept(sorted_: Column) -> Column:
+        upto = let(F.transform(sorted_, lambda s: -s["back"]), lambda e: scan(e, F.lit(0), F.greatest))
+        out = let(upto, lambda u: F.filter(sorted_, lambda s, i: (i == 0) | (-s["back"] > u[F.greatest(i - 1, F.lit(0))])))
+        return F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), (-s["back"]).alias("end")))
+
+    return let(wide, kept)
+
+
 def masked(text: Column, spans: Column, kinds: tuple[str, ...]) -> Column:
     """The text with each run of overlapping spans replaced by ``[KIND]`` of its first one.
 

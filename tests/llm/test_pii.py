@@ -93,6 +93,21 @@ def test_frequent_forms_without_a_base_match_are_added(docs_of):
     assert {got[i] for i in range(2500, 2800)} == {""}
 
 
+def test_neighbours_do_not_swallow_each_other(docs_of):
+    pick = random.Random(4)
+    number = lambda: f"({pick.randrange(200, 999)}) 555-{pick.randrange(1000, 9999)}"
+    name = lambda: "".join(pick.choice("abcdefgh") for _ in range(8))
+    rows = [(i, f"call me at +1 {number()} or {name()}@{name()}.org today") for i in range(400)]
+    rows += [(i, f"call {number()} {number()} today") for i in range(400, 500)]
+    rows += [(i, f"call 10.0.0.5 {number()} today") for i in range(500, 600)]
+    rows += [(i, f"write to a@b.org. {name()} (at) {name()} (dot) org") for i in range(600, 700)]
+    docs = docs_of(rows)
+    got = {r.doc_id: r.spans for r in pii.op5(docs).collect()}
+    assert {got[i] for i in range(400, 500)} == {"phone:5:19,phone:20:34"}
+    assert {got[i] for i in range(500, 600)} == {"ip:5:13,phone:14:28"}
+    assert {got[i] for i in range(600, 700)} == {"email:9:16,email:18:50"}
+
+
 def test_the_threshold_stops_where_precision_first_fails():
     patterns, folds = np.repeat(np.arange(4), 3), np.tile(np.arange(3), 4)
     total = np.repeat([1000, 1000, 40, 1000], 3)
