@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import ann, chat, decontam, langid, mixing, pii, secrets, simhash, tokens, warc
+from runlore.llm import ann, caps, chat, decontam, langid, mixing, pii, secrets, simhash, tokens, warc
 from runlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,11 @@ def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op1_revisits"] = warc.OP1_SQL
+
+
+@query
+def op12_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.op12(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_cap_filters"] = caps.OP12_SQL
