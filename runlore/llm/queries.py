@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import ann, caps, chat, decontam, langid, mixing, pii, secrets, simhash, tokens, warc
+from runlore.llm import ann, caps, chat, decontam, langid, mixing, negatives, pii, secrets, simhash, tokens, warc
 from runlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,11 @@ def op12_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_cap_filters"] = caps.OP12_SQL
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.op13(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_hard_negatives"] = negatives.OP13_SQL
