@@ -59,7 +59,7 @@ def difference(spark, con, build, sql: str, sf_dir: str) -> str | None:
     relation = con.sql(sql)
     if sorted(relation.columns) != names:
         return f"columns {names} / {sorted(relation.columns)}"
-    kinds = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     types = {c: str(t) for c, t in zip(relation.columns, relation.types)}
     odd = [(c, t, types[c]) for c, t in df.dtypes if kinds.get(t) != types[c]]
     at = [relation.columns.index(n) for n in names]
