@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runlore.llm import ann, caps, chat, decontam, langid, mixing, negatives, pii, secrets, simhash, tokens, warc
+from runlore.llm import ann, caps, chat, decontam, langid, mixing, negatives, pii, secrets, simhash, tokens, trie, warc
 from runlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,11 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op13_hard_negatives"] = negatives.OP13_SQL
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.op11(table(spark, sf_dir, "conversations"))
+
+
+SQL["op11_prefix_trie"] = trie.OP11_SQL
