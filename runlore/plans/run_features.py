@@ -12,7 +12,7 @@ from runlore.functions.testlogs import parser_name, test_facts
 from runlore.operators import changes, commits, people, repositories, runs, slices
 from runlore.operators.ordered import join_facts
 from runlore.operators.runs import RUN_KEY
-from runlore.plans.pruning import only, within
+from runlore.plans.pruning import likely, only, within
 from runlore.plans.settings import Settings
 
 Tables = Mapping[str, DataFrame]
@@ -81,18 +81,19 @@ def _base(selected: DataFrame, tables: Tables, facts: DataFrame, skew, target_ro
     )
 
 
-def needed_commits(tables: Tables, selected: DataFrame) -> dict[str, DataFrame]:
+def needed_commits(tables: Tables, selected: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
     """The commit tables with the head commits of the selected runs and, where compared, their parents.
 
-    Patches, symbols and manifests are read after this.
+    Patches, symbols and manifests are read after this. Tables with texts are cut in their scans and may
+    keep a few other commits, which the joins with the runs leave out.
     """
     key = ["repository", "sha"]
     heads = selected.select("repository", F.col("head_sha").alias("sha"))
-    own = only(tables["commits"], heads, key)
+    own = only(tables["commits"], heads, key, limit)
     both = heads.unionByName(own.select("repository", F.col("parent_sha").alias("sha")))
     kept = {"commits": own}
-    kept |= {n: only(tables[n], heads, key) for n in ("commit_files", "file_metrics") if n in tables}
-    return kept | {n: only(tables[n], both, key) for n in ("java_symbols", "file_contents")}
+    kept |= {n: likely(tables[n], heads, key, limit) for n in ("commit_files", "file_metrics") if n in tables}
+    return kept | {n: likely(tables[n], both, key, limit) for n in ("java_symbols", "file_contents")}
 
 
 def _change_columns(
@@ -156,7 +157,7 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
     all_runs, partial = tables["runs"], selected is not None
     selected = all_runs if selected is None else selected
     if partial:
-        tables = within(tables, selected)
+        tables = within(tables, selected, s.broadcast_keys)
     code = s.enabled("fetch_sloc") or s.enabled("fetch_commit_details")
     facts = repository_facts(tables)
 
@@ -167,7 +168,7 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
     rows = _base(selected, tables, facts, skew, s.target_rows)
     columns = list(schemas.RUN_BASE)
     if code:
-        near = needed_commits(tables, selected) if partial else tables
+        near = needed_commits(tables, selected, s.broadcast_keys) if partial else tables
         rows = rows.join(_change_columns(selected, tables, near, context, s, skew), RUN_KEY, "left")
         for part in _history_columns(selected, tables, all_runs, context, s, skew):
             rows = rows.join(part, RUN_KEY, "left")
@@ -181,8 +182,8 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
     if s.enabled("fetch_test_parsing_results"):
         jobs, logs = tables["jobs"], tables["job_logs"]
         if partial:
-            jobs = only(jobs, selected, RUN_KEY)
-            logs = only(logs, jobs, ["repository", "job_id"])
+            jobs = only(jobs, selected, RUN_KEY, s.broadcast_keys)
+            logs = likely(logs, jobs, ["repository", "job_id"], s.broadcast_keys)
         tests = test_totals(selected, jobs, logs, facts, spread=skew is None)
         rows = rows.join(tests, RUN_KEY, "left")
         columns += schemas.RUN_TESTS

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +37,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Folder for reliable checkpoints.
 
     The shared folder named by the cluster wins. Only a local session (tests) may fall
-    back to a temporary folder, because executors on other machines cannot read it.
+    back to a temporary folder, because executors on other machines cannot read it; it goes when the
+    process ends.
     """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
@@ -41,45 +46,88 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_CONF} must name a folder that every executor can read")
         configured = tempfile.mkdtemp(prefix="runlore-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
 
 
-# Tables that cut_lineage wrote in this process and that are still there.
-_written: list[str] = []
+class _Owned:
+    """Paths of written tables that belong together and are removed together."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.lock = threading.Lock()
+
+    def add(self, path: str) -> None:
+        with self.lock:
+            self.paths.append(path)
+
+    def take(self) -> list[str]:
+        with self.lock:
+            paths, self.paths = self.paths, []
+        return paths
+
+
+# Tables written outside of any block, and the block that the running code is in. A thread starts outside
+# of all blocks, so a block owns what its own code writes and nothing that another thread writes meanwhile.
+_LOOSE = _Owned()
+_BLOCK: ContextVar[_Owned | None] = ContextVar("runlore-block", default=None)
+
+
+def own_path(path: str) -> str:
+    """Register a path for removal with the block that the caller is in, or else with ``remove_tables``."""
+    (_BLOCK.get() or _LOOSE).add(path)
+    return path
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path of its own in the checkpoint folder, registered for removal."""
+    return own_path(f"{checkpoint_root(spark).rstrip('/')}/runlore-{kind}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the checkpoint folder and read it from there.
 
     A written table serves each later branch only the columns it needs, and its size is known to the
-    optimizer. It outlives lost executors, like a checkpoint. It stays until ``remove_tables`` or the
-    end of a ``temporary_tables`` block, because frames that read it may still be used.
+    optimizer. It outlives lost executors, like a checkpoint. It stays until the end of the
+    ``temporary_tables`` block it was written in, or outside of blocks until ``remove_tables``, because
+    frames that read it may still be used.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/runlore-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_tables(spark: SparkSession, since: int = 0) -> int:
-    """Delete the tables that cut_lineage wrote, from the ``since``-th on, and say how many there were."""
-    paths = _written[since:]
-    del _written[since:]
-    jvm = spark.sparkContext._jvm
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _remove(spark: SparkSession, owned: _Owned) -> int:
+    paths = owned.take()
     for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        delete_path(spark, path)
     return len(paths)
 
 
+def remove_tables(spark: SparkSession) -> int:
+    """Delete the tables written outside of blocks and say how many there were."""
+    return _remove(spark, _LOOSE)
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Remove the tables written inside the block when it ends; write or collect results within it."""
-    before = len(_written)
+    """Remove the tables written inside the block when it ends; write or collect results within it.
+
+    Blocks may be nested, and blocks of several threads do not touch each other's tables.
+    """
+    owned = _Owned()
+    token = _BLOCK.set(owned)
     try:
         yield
     finally:
-        remove_tables(spark, before)
+        _BLOCK.reset(token)
+        _remove(spark, owned)

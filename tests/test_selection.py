@@ -1,6 +1,7 @@
 """A selection reads little, gives the rows of the whole, and times do not depend on the session's zone."""
 
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from runlore import session
 from runlore.functions import errors
 from runlore.operators import jobs
 from runlore.plans import job_features as plan
+from runlore.plans import pruning
 from runlore.plans.extract import extract
 from runlore.plans.pruning import within
-from runlore.plans.run_features import needed_commits
+from runlore.plans.run_features import needed_commits, run_features
 from runlore.sources import payloads, tasks
 from runlore.streaming import ingest
 
@@ -102,13 +104,46 @@ def test_folded_facts_are_outranked_by_replays(spark, tmp_path):
     assert sorted(tuple(r) for r in ingest.load_facts(spark, path).collect()) == [("o/a", 1, "c"), ("o/a", 2, "z"), ("o/a", 3, "z")]
 
 
+def _there(spark, df):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_tables_are_removed(spark):
     with session.temporary_tables(spark):
         kept = session.cut_lineage(spark.range(3))
+        with session.temporary_tables(spark):
+            inner = session.cut_lineage(spark.range(2))
+            assert _there(spark, inner)
+        gone, files = inner.inputFiles(), kept.inputFiles()
         assert kept.count() == 3
-        path = session._written[-1]
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    assert not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
+    loose = session.cut_lineage(spark.range(4))
+    exists = lambda name: spark.sparkContext._jvm.java.io.File(name.replace("file://", "")).exists()
+    assert not any(map(exists, [*gone, *files])) and _there(spark, loose)
+    session.remove_tables(spark)
+    assert not any(map(exists, loose.inputFiles()))
+
+
+def test_blocks_leave_the_tables_of_other_threads(spark):
+    open_, written, found = threading.Event(), threading.Event(), []
+
+    def other():
+        with session.temporary_tables(spark):
+            open_.wait(60)
+            table = session.cut_lineage(spark.range(5))
+            written.set()
+            closed.wait(60)
+            found.append(table.count())
+
+    closed = threading.Event()
+    thread = threading.Thread(target=other)
+    thread.start()
+    with session.temporary_tables(spark):
+        open_.set()
+        assert written.wait(60)
+    closed.set()
+    thread.join(60)
+    assert found == [5]
 
 
 def test_unclosed_blocks_are_not_sought(spark):
@@ -132,3 +167,61 @@ def test_git_logs_of_several_repositories(spark, tmp_path):
     paths = {f"o/{name}": str(tmp_path / f"{name}.txt") for name in ("a", "b")}
     got = sorted(tuple(r) for r in payloads.read_git_log(spark, paths).select("repository", "block").collect())
     assert got == [("o/a", "sha-a-1"), ("o/a", "sha-a-2"), ("o/b", "sha-b-1"), ("o/b", "sha-b-2")]
+
+
+def _exchanged(df):
+    """Names of the columns that pass an exchange."""
+    found, queue = set(), [df._jdf.queryExecution().executedPlan()]
+    while queue:
+        node = queue.pop()
+        name = node.getClass().getSimpleName()
+        if "Exchange" in name:
+            columns = node.output()
+            found |= {columns.apply(i).name() for i in range(columns.size())}
+        if name == "AdaptiveSparkPlanExec":
+            queue.append(node.inputPlan())
+        children = node.children()
+        queue += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_bloom_filter_keeps_every_key_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(pruning, "BROADCAST_KEYS", 10)
+    rows = spark.range(200_000).selectExpr("concat('o/', id % 100) as repository", "id as job_id", "repeat('x', 20) as log")
+    keys = rows.filter("job_id % 10 = 3").selectExpr("repository", "cast(job_id as int) as job_id").union(spark.sql("select null, 5"))
+    got = pruning.likely(rows, keys, ["repository", "job_id"])
+    assert "log" not in _exchanged(got)
+    passed = got.selectExpr("sum(int(job_id % 10 = 3)) as good", "count(*) as every").first()
+    assert passed.good == 20_000 and passed.every < 22_000
+    assert pruning.likely(rows.limit(0), keys, ["repository", "job_id"]).count() == 0
+    unknown = spark.createDataFrame([(None, 1, "x")], rows.schema)
+    assert pruning.likely(unknown, keys, ["repository", "job_id"]).count() == 0
+
+
+def test_ten_million_keys_exchange_no_log(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    spark.range(0, 20_000_000, 1000).selectExpr("'o/a' as repository", "id as job_id", "'warning' as log").write.parquet(path)
+    keys = spark.range(0, 10_000_000).selectExpr("'o/a' as repository", "id as job_id")
+    logs = pruning.likely(spark.read.parquet(path), keys, ["repository", "job_id"])
+    facts = jobs.log_facts(logs)
+    assert "log" not in _exchanged(facts)
+    passed = facts.selectExpr("sum(int(job_id < 10000000)) as good", "count(*) as every").first()
+    assert passed.good == 10_000 and passed.every < 10_000 * 1.1
+
+
+def test_large_selections_give_the_rows_of_small_ones(data, monkeypatch):
+    tables = job_tables(data)
+    selected = tables["jobs"].filter("job_id % 3 = 0")
+    order = lambda df: sorted(map(str, df.collect()))
+    want = order(plan.job_features(tables, selected))
+    runs = run_tables(data) | {"file_metrics": data["file_metrics"]}
+    some = runs["runs"].filter("run_id % 7 = 0")
+    settled = order(run_features(runs, some).drop("job_details"))
+    monkeypatch.setattr(pruning, "BROADCAST_KEYS", 2)
+    monkeypatch.setattr(pruning, "LISTED", 1)
+    assert order(plan.job_features(tables, selected)) == want
+    asked = plan.job_features(tables, selected, materialise=False)
+    assert not {"log", "__plain", "__text"} & _exchanged(asked)
+    wide = run_features(runs, some).drop("job_details")
+    assert order(wide) == settled
+    assert not {"log", "content", "patch"} & _exchanged(wide)
