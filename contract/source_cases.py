@@ -11,7 +11,7 @@ from contract.history_cases import DAY_US, WEEK_US
 from contract.text_cases import FACTS_BODY
 from runlore.schemas import TABLES
 from runlore.session import checkpoint_root
-from runlore.sources import history, payloads, tasks
+from runlore.sources import history, keyed, payloads, tasks
 from runlore.streaming import ingest
 
 
@@ -292,8 +292,8 @@ def _(t: Tables):
     for part in (t["runs"], _updates(t)):
         part.select(*columns).coalesce(1).write.mode("append").parquet(arrived)
         new = ingest.stream_table(t.spark, arrived, TABLES["runs"])
-        ingest.start_run_history(new, stored, progress, buckets=8).awaitTermination()
-    return history.load_history(t.spark, stored).select("repository", "run_id", "conclusion", "created_at")
+        ingest.start_run_history(new, stored, progress).awaitTermination()
+    return keyed.read(t.spark, stored).select("repository", "run_id", "conclusion", "created_at")
 
 
 _RUN_COLUMNS = [c.split(" ")[0] for c in TABLES["runs"].split(", ")]

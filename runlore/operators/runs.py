@@ -169,10 +169,15 @@ def failure_history(
         totals = narrow.groupBy("repository").agg(F.count(F.lit(1)).alias("all_repo_runs"))
         spread = cuts.any if cuts is not None else has_hot_group(narrow, ["repository"], target_rows)
         sums = join_facts(sums, totals, ["repository"], "run_id", spread)
+    return failure_rates(sums, list(spans), denominator, include_current)
+
+
+def failure_rates(sums: DataFrame, tags: list[str], denominator: str = "context", include_current: bool = True) -> DataFrame:
+    """Rates and trust from the sums of each run's windows: ``<tag>_repo_*``, ``<tag>_actor_*``, ``all_repo_runs``."""
     own_run = F.lit(0) if include_current else F.lit(1)
     own_failure = F.lit(0) if include_current else F.col("__bad")
     columns = []
-    for tag in spans:
+    for tag in tags:
         failures = F.col(f"{tag}_repo_failures") - own_failure
         size = F.col("all_repo_runs") if denominator == "context" else F.col(f"{tag}_repo_runs") - own_run
         rate = F.when(size > 0, failures / size).otherwise(F.lit(0.0))

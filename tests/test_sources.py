@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlore.schemas import TABLES
-from runlore.sources import history, payloads, tasks
+from runlore.sources import history, keyed, payloads, tasks
 from runlore.streaming import ingest
 
 
@@ -165,4 +165,4 @@ def test_streamed_history_tells_what_changed(spark, table, tmp_path):
             ingest.stream_table(spark, source, TABLES["runs"]), store, progress, buckets=4,
             after=lambda touched, n: seen.append([r.repository for r in touched.collect()]),
         ).awaitTermination()
-    assert seen == [["o/a"], ["o/b"]] and history.load_history(spark, store).count() == 2
+    assert seen == [["o/a"], ["o/b"]] and keyed.read(spark, store).count() == 2
