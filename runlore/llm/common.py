@@ -6,6 +6,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlore.session import configure, cut_lineage
 
@@ -49,12 +50,33 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
+
+
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    """The value with maps as sorted lists of entries, which can be hashed and do not depend on order."""
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        parts = [_hashable(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    entry = lambda e: F.struct(_hashable(e["key"], kind.keyType).alias("k"), _hashable(e["value"], kind.valueType).alias("v"))
+    return F.array_sort(F.transform(F.map_entries(value), entry))
+
+
 def row_id(df: DataFrame) -> Column:
     """128 bits over all columns as text, the same for equal rows only.
 
     A hash passes over nulls, so which columns are null is hashed as well; 64 bits would make some
-    different rows of a very large table equal.
+    different rows of a very large table equal. Maps count by their entries, in any order.
     """
-    names = [F.col(f"`{c}`") for c in df.columns]
-    parts = [*names, *[c.isNull() for c in names]]
+    names = [_hashable(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    parts = [*names, *[F.col(f"`{c}`").isNull() for c in df.columns]]
     return F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit("second"), *parts)))

@@ -199,13 +199,22 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     marked = docs.withColumn("__row", row_id(docs))
     units = stored(marked.select(F.col("__row").alias("id"), "source", size_of(F.col("text")).alias("size")))
-    per = copies(units).groupBy("id").agg(
+    per = copies(units).groupBy(F.col("id").alias("__id")).agg(
         *[F.max(c).alias(f"__{c}") for c in ("size", "source_size", "target")], F.sum("copies").alias("__copies")
     )
-    found = marked.join(per, F.col("__row") == F.col("id")).dropDuplicates(["__row"])
+    found = marked.join(per, F.col("__row") == F.col("__id")).dropDuplicates(["__row"])
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     return found.select(
         *[F.col(f"`{c}`") for c in own],
         F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"),
     )
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """The mix itself: each document of ``mixed`` as often as it is taken, numbered by ``copy`` from 1.
+
+    Documents that are not taken have no row, so the words of a source's rows come near its target.
+    """
+    taken = mixed(docs.drop("copy")).filter(F.col("copies") > 0)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

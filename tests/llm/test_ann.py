@@ -59,3 +59,22 @@ def test_copies_ties_and_unusable_vectors(spark):
     few = df.filter("vec_id in (0, 1, 2)")
     assert ann.op9(few, 10, 1).count() == 6
     assert ann.op9(df.limit(0)).count() == 0
+
+
+def test_doubles_keep_their_precision_and_range(spark):
+    pick = np.random.default_rng(8)
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 1.0 + 1e-10]), (2, [1.0, 1.0 + 1e-11]), (3, [1e300, -1e300]), (4, [1.0, 1.5]), (5, [1e-300, 0.0]), (6, [2e-300, 0.0]),
+            (100, [1e308, 1e308]), (7, [-1e308, -1e308]), (200, [3e-300, 0.0])]
+    rows += [(1000 + i, v.tolist()) for i, v in enumerate(pick.normal(size=(40, 2)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", ann.F.lit(1))
+    got = {}
+    for r in ann.op9(df, 60, 100).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {0, 100, 200, 1000}
+    for q, found in got.items():
+        own = dict(rows)[q]
+        want = sorted((float(ann.distances(np.array([v]), np.array(own))[0]), i) for i, v in rows if i != q)
+        assert [(s, i) for _, i, s in sorted(found)] == want
+    first = sorted(got[0])[:2]
+    assert [i for _, i, _ in first] == [2, 1] and 0 < first[0][2] < first[1][2] < 2e-10
+    assert sorted(got[200])[0][1] == 6 and 0 < sorted(got[200])[0][2] < 1.1e-300
