@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from runlore.llm import decontam, langid, mixing, pii, simhash
 from runlore.llm.common import table
-from runlore.session import checkpoint_root
+from runlore.session import delete_path, new_path, temporary_tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +30,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add how often each document is taken (copies, 0 for not at all) to reach the target weights."""
-    return mixing.mixed(docs)
+    """Take each document as often as the target weights ask for: a row for each copy, none for copies 0."""
+    return mixing.mixture(docs)
 
 
 STAGES = [
@@ -49,11 +47,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    root = f"{checkpoint_root(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{root}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    """Apply the stages to ``documents``; each result is written as Parquet and read again.
+
+    Tables that a stage needs for itself go when it is done, and its input once its result is written. The
+    last result stays until ``remove_tables`` or the end of the ``temporary_tables`` block around this call.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = new_path(spark, f"pipeline-{name}")
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete_path(spark, before)
+        before = path
     return docs
