@@ -175,6 +175,22 @@ def _(t: Tables):
     return repositories.code_size(t["file_metrics"])
 
 
+_LINES = "regexp_split_to_array(content, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\x{2028}\\x{2029}]')"
+
+
+@case("c27_lines_from_contents", f"""
+WITH l AS (SELECT repository, sha, path, CASE WHEN {_LINES}[-1] = '' THEN {_LINES}[1 : len({_LINES}) - 1] ELSE {_LINES} END AS lines FROM {{file_contents}}),
+k AS (SELECT *, path LIKE '%.yml' OR path = 'Gemfile' AS hashes FROM l)
+SELECT repository, sha, path, CASE WHEN path LIKE '%.yml' THEN 'YAML' WHEN path = 'Gemfile' THEN 'Gemfile' WHEN path LIKE '%.json' THEN 'JSON' WHEN path LIKE '%.txt' THEN 'Plain Text'
+    WHEN path LIKE '%.gradle' THEN 'Gradle' WHEN path LIKE '%.kts' THEN 'Kotlin' ELSE 'XML' END AS language,
+  coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '\\S') AND NOT (hashes AND regexp_matches(x, '^\\s*#')))), 0) AS code_lines,
+  coalesce(len(list_filter(lines, lambda x: hashes AND regexp_matches(x, '^\\s*#'))), 0) AS comment_lines,
+  coalesce(len(list_filter(lines, lambda x: NOT regexp_matches(x, '\\S'))), 0) AS blank_lines, coalesce(len(lines), 0) AS total_lines
+FROM k""")
+def _(t: Tables):
+    return repositories.content_metrics(t["file_contents"])
+
+
 @case("c26_base_commit", BASE)
 def _(t: Tables):
     return commits.base_commit(t["runs"], t["commits"])

@@ -213,6 +213,33 @@ def _(t: Tables):
     return history.job_gaps(t["jobs"].withColumn("run_created_at", moved), _stored(t))
 
 
+_SPANS = """
+SELECT repository, created_at AS span_start, make_timestamp(epoch_us(created_at) + CAST(run_id % 9 AS BIGINT) * 600000000) AS span_end
+FROM {runs} WHERE repository <> 'org/r4'"""
+
+
+@case("a10_inner_gaps", f"""
+WITH spans AS ({_SPANS}),
+need AS (SELECT repository, min(created_at) AS need_start, max(created_at) AS need_end FROM {{runs}} GROUP BY repository, run_id % 3),
+edges AS (
+  SELECT repository, p, sum(step) AS step FROM (
+    SELECT repository, span_start AS p, 1 AS step FROM spans UNION ALL SELECT repository, span_end, -1 FROM spans
+    UNION ALL SELECT repository, need_start, 0 FROM need UNION ALL SELECT repository, need_end, 0 FROM need) GROUP BY 1, 2),
+pieces AS (
+  SELECT repository, p AS f, lead(p) OVER w AS t, sum(step) OVER w AS open FROM edges WINDOW w AS (PARTITION BY repository ORDER BY p)),
+bare AS (SELECT repository, f, t, CASE WHEN lag(t) OVER w = f AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.repository = pieces.repository AND s.span_start <= f AND s.span_end >= f)
+    THEN 0 ELSE 1 END AS opens FROM pieces WHERE open = 0 AND t IS NOT NULL WINDOW w AS (PARTITION BY repository ORDER BY f)),
+holes AS (SELECT repository, min(f) AS f, max(t) AS t FROM (SELECT *, sum(opens) OVER (PARTITION BY repository ORDER BY f) AS g FROM bare) GROUP BY repository, g)
+SELECT n.repository, epoch_us(n.need_start) AS need_start, epoch_us(n.need_end) AS need_end, epoch_us(greatest(f, need_start)) AS gap_start, epoch_us(least(t, need_end)) AS gap_end
+FROM need n JOIN holes h ON h.repository = n.repository AND h.f < n.need_end AND h.t > n.need_start""")
+def _(t: Tables):
+    """Each run stands for a fetch that covered some minutes after it; one repository was never fetched."""
+    ends = F.timestamp_micros(F.unix_micros("created_at") + F.col("run_id") % 9 * 600_000_000)
+    spans = t["runs"].filter("repository <> 'org/r4'").select("repository", F.col("created_at").alias("span_start"), ends.alias("span_end"))
+    needed = t["runs"].groupBy("repository", F.col("run_id") % 3).agg(F.min("created_at").alias("need_start"), F.max("created_at").alias("need_end"))
+    return history.inner_gaps(needed, spans)
+
+
 # -- payloads and git logs ----------------------------------------------------------------------
 
 

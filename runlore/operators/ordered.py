@@ -226,6 +226,29 @@ def previous_row(
     )
 
 
+def running_extreme(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    *,
+    cuts: Cuts | None = None,
+    target_rows: int | None = None,
+) -> DataFrame:
+    """Add ``name``: the largest ``value`` of the rows before this one in its group, null for the first row."""
+    cuts = _resolve(df, keys, order, cuts, target_rows)
+    if not cuts.any:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.max(value).over(before))
+    sliced = _spread(_sliced(df, cuts), keys)
+    before = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = sliced.withColumn(name, F.max(value).over(before))
+    most = sliced.filter(F.col(_CUTS).isNotNull()).groupBy(*keys, _SLICE).agg(F.max(value).alias(_LAST)).select(*_carry_keys(keys), _LAST)
+    carry = most.withColumn(_LAST, F.max(_LAST).over(_carry_window(keys).rowsBetween(Window.unboundedPreceding, -1)))
+    return _with_carry(local, carry, keys).withColumn(name, F.greatest(name, _LAST)).drop(_CUTS, _SLICE, _LAST)
+
+
 def join_facts(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], by: str, spread: bool, how: str = "inner"
 ) -> DataFrame:

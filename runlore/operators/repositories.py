@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlore.functions.linecount import language_of, line_counts
 from runlore.functions.manifests import (
     BUILD_FILES,
     COMMIT_MANIFESTS,
@@ -112,3 +113,23 @@ def code_size(file_metrics: DataFrame) -> DataFrame:
         F.col("gh_sloc").alias("sloc_initial"),
         "test_lines_initial",
     )
+
+
+def content_metrics(contents: DataFrame) -> DataFrame:
+    """Lines of each file by kind, from its text: the table ``file_metrics`` where no line counter has made it.
+
+    Files of an unknown language have no code lines, all their lines count as lines. The text stays where it
+    is read.
+    """
+    counts = line_counts(F.col("content"), F.col("path"))
+    zero = F.lit(0).cast("long")
+    # one element exploded: the text is counted once for all columns
+    counted = contents.select(
+        "repository", "sha", "path", language_of(F.col("path")).alias("language"), line_count(F.col("content")).alias("total_lines"),
+        F.explode(F.array(counts)).alias("c"),
+    )
+    return counted.select(
+        "repository", "sha", "path", "language",
+        *[F.coalesce(F.col("c")[n].cast("long"), zero).alias(f"{n}_lines") for n in ("code", "comment", "blank")],
+        F.coalesce("total_lines", zero).alias("total_lines"),
+    )

@@ -108,7 +108,9 @@ def _change_columns(
         near["commits"], near["commit_files"], near["java_symbols"], counts, s.case_insensitive_docker
     ).withColumnRenamed("dependencies_count", "__commit_dependencies")
     if s.enabled("fetch_sloc"):
-        per_commit = per_commit.join(repositories.code_size(near["file_metrics"]), ["repository", "sha"], "left")
+        # without a line counter's table the lines are counted in the texts
+        sized = near["file_metrics"] if "file_metrics" in near else repositories.content_metrics(near["file_contents"])
+        per_commit = per_commit.join(repositories.code_size(sized), ["repository", "sha"], "left")
     per_commit = per_commit.withColumnRenamed("sha", "head_sha")
     hot = slices.hotspot_touched(
         selected, context, tables["run_commits"], tables["commit_files"], s.hotspot_days, cuts=skew, target_rows=s.target_rows

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlore.functions.values import DAY, WEEK, micros
+from runlore.operators.ordered import previous_row, running_extreme, running_sums
 from runlore.operators.runs import RUN_KEY
 
 BUCKETS = 256
@@ -79,6 +80,46 @@ def job_gaps(jobs: DataFrame, stored: DataFrame, days: int = 30) -> DataFrame:
     return _gaps(needed, stored)
 
 
+def covered_spans(spans: DataFrame) -> DataFrame:
+    """The union of intervals (repository, span_start, span_end): one row for each stretch without a hole.
+
+    A sweep along each repository's starts: a stretch begins where a start lies after all earlier ends.
+    Intervals that touch are one stretch; empty ones and those without an end are left out.
+    """
+    known = spans.select("repository", "span_start", "span_end").filter(F.col("span_start") <= F.col("span_end")).distinct()
+    order = ["span_start", "span_end"]
+    begun = running_extreme(known, ["repository"], order, F.col("span_end"), "__before")
+    opens = (F.col("__before").isNull() | (F.col("span_start") > F.col("__before"))).cast("int")
+    numbered = running_sums(begun.withColumn("__opens", opens), ["repository"], order, {"__stretch": F.col("__opens")})
+    return (
+        numbered.groupBy("repository", "__stretch")
+        .agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"))
+        .drop("__stretch")
+    )
+
+
+def inner_gaps(needed: DataFrame, spans: DataFrame) -> DataFrame:
+    """Parts of ``needed`` (repository, need_start, need_end) that no interval of ``spans`` covers, holes inside included.
+
+    ``spans`` (repository, span_start, span_end) are the stretches that were fetched. What is needed at one
+    instant only is a gap of no length where that instant isn't covered.
+    """
+    asked = needed.select("repository", "need_start", "need_end").filter(F.col("need_start") <= F.col("need_end")).distinct()
+    stretches = covered_spans(spans)
+    # what lies between the stretches, before the first and after the last
+    before = previous_row(stretches, ["repository"], ["span_start"], ["span_end"], "__p")
+    holes = before.select("repository", F.col("__p.span_end").alias("from"), F.col("span_start").alias("to"))
+    last = stretches.groupBy("repository").agg(F.max("span_end").alias("from")).withColumn("to", F.lit(None).cast("timestamp"))
+    none = asked.select("repository").distinct().join(stretches, "repository", "left_anti")
+    none = none.select("repository", F.lit(None).cast("timestamp").alias("from"), F.lit(None).cast("timestamp").alias("to"))
+    met = asked.join(holes.unionByName(last).unionByName(none), "repository").filter(
+        (F.col("from").isNull() | (F.col("from") < F.col("need_end"))) & (F.col("to").isNull() | (F.col("to") > F.col("need_start")))
+    )
+    start = F.greatest("need_start", F.coalesce("from", "need_start"))
+    end = F.least("need_end", F.coalesce("to", "need_end"))
+    return met.select("repository", "need_start", "need_end", start.alias("gap_start"), end.alias("gap_end"))
+
+
 def save_history(history: DataFrame, path: str, buckets: int = BUCKETS, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Store runs by repository bucket; only the buckets present in ``history`` are replaced.
 
