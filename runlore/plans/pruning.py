@@ -62,6 +62,31 @@ def _few(keys: DataFrame, limit: int | None) -> bool:
     return keys.limit(most + 1).count() <= most
 
 
+def _test(df: DataFrame, wanted: DataFrame, names: list[str]) -> Column:
+    """Whether a row's key may be among ``wanted``; false for keys with a null."""
+    table, words = membership(wanted, names, wanted.count())
+    key = [F.col(n) for n in names]
+    word, mask = _word_and_bits(key, words)
+    chunk = F.shiftright(word, _CHUNK.bit_length() - 1).cast("int")
+    held = table.scalar()[chunk][word.bitwiseAND(F.lit(_CHUNK - 1)).cast("int")]
+    known = reduce(Column.__and__, [k.isNotNull() for k in key])
+    return known & (held.bitwiseAND(mask) == mask)
+
+
+def without(df: DataFrame, keys: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``columns`` do not occur in ``keys``; rows with a null there stay.
+
+    Few keys are broadcast. Otherwise the rows that a Bloom filter in the scan's own tasks does not hold are
+    kept there, and only those it holds are exchanged to look closer.
+    """
+    names = list(columns)
+    wanted = _distinct(df, keys, names)
+    if _few(wanted, limit):
+        return df.join(F.broadcast(wanted), names, "left_anti").select(*df.columns)
+    maybe = F.coalesce(_test(df, wanted, names), F.lit(False))
+    return df.filter(~maybe).unionByName(df.filter(maybe).join(wanted, names, "left_anti").select(*df.columns))
+
+
 def likely(df: DataFrame, keys: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     """The rows of ``df`` whose ``columns`` occur in ``keys``, and possibly a few others; no row is exchanged.
 
@@ -73,13 +98,7 @@ def likely(df: DataFrame, keys: DataFrame, columns: Sequence[str], limit: int |
     wanted = _distinct(df, keys, names)
     if _few(wanted, limit):
         return df.join(F.broadcast(wanted), names, "left_semi")
-    table, words = membership(wanted, names, wanted.count())
-    key = [F.col(n) for n in names]
-    word, mask = _word_and_bits(key, words)
-    chunk = F.shiftright(word, _CHUNK.bit_length() - 1).cast("int")
-    held = table.scalar()[chunk][word.bitwiseAND(F.lit(_CHUNK - 1)).cast("int")]
-    known = reduce(Column.__and__, [k.isNotNull() for k in key])
-    return df.filter(known & (held.bitwiseAND(mask) == mask))
+    return df.filter(_test(df, wanted, names))
 
 
 def only(df: DataFrame, keys: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
