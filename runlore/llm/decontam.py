@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlore.llm.common import ascii_lower, small, stored
+from runlore.plans.pruning import likely, only, without
 
 WINDOW = 13
 # A document is contaminated if at least one in so many of its words is hit.
@@ -37,15 +38,19 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """How often each term of ``vocabulary`` (column term, distinct) occurs in all documents."""
+    """How often each term of ``vocabulary`` (column term, distinct) occurs in all documents.
+
+    Other terms are left out in the scan, and the rest is added up there before it is exchanged.
+    """
     terms = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-    return terms.join(small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted = likely(terms, vocabulary, ["term"]).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return only(counted, vocabulary, ["term"])
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, key, pos) of every occurrence of ``terms`` in rows of (key, text)."""
+    """(term, key, pos) of every occurrence of ``terms`` in rows of (key, text), and of a few other terms if they are many."""
     places = docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return places.join(small(terms), "term").select("term", "key", "pos")
+    return likely(places, terms, ["term"]).select("term", "key", "pos")
 
 
 def segments(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -151,18 +156,22 @@ def _match(words: Column, c: Column) -> Column:
     )
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each row of ``docs`` as ``row``, with n_words, n_hit, item_ids and contaminated.
+_KEY = ["key", "key2"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with 128 bits of id and text as ``key``, by which postings and candidates go, and ``key2``."""
+    return docs.withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.xxhash64(F.lit("second"), "doc_id", "text")})
 
-    A word is hit inside any occurrence of a window. Rows are told apart by a hash of id and text,
-    which only proposes candidates; the comparison reads the row's own words. Repeated rows give
-    the same result each; null and empty texts have no words and are not contaminated.
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """key, key2, n_words, n_hit and item_ids of the documents (doc_id, text) with a hit, each once.
+
+    A word is hit inside any occurrence of a window. Only documents in which the two rarest terms of some
+    window stand at their places are compared word by word, and only their texts are exchanged: which
+    they are is tested in the scan.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        "text",
-        F.xxhash64("doc_id", "text").alias("key"),
-    )
+    rows = _keyed(docs.select("doc_id", "text")).select(*_KEY, "text")
     items = stored(item_words(benchmark))
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
     counts = stored(term_counts(docs, vocabulary))
@@ -172,19 +181,19 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     found = candidates(index, ends)
 
     body = stretches.select("segment", "words", "size", "item_ids")
-    by_document = (
+    by_document = stored(
         found.join(small(body), "segment")
         .groupBy("key")
         .agg(F.collect_list(F.struct("start", "words", "size", "item_ids")).alias("candidates"))
     )
     # explode of one element: the words are computed once, not once for each candidate
-    met = rows.join(by_document, "key", "left").select(
-        "row", "candidates", F.explode(F.array(words_of(F.col("text")))).alias("words")
+    met = likely(rows, by_document, ["key"]).dropDuplicates(_KEY).join(by_document, "key").select(
+        *_KEY, "candidates", F.explode(F.array(words_of(F.col("text")))).alias("words")
     )
     matches = F.array_sort(
         F.filter(F.transform("candidates", lambda c: _match(F.col("words"), c)), lambda m: m.isNotNull())
     )
-    compared = met.select("row", F.size("words").cast("long").alias("n_words"), F.explode(F.array(matches)).alias("matches"))
+    compared = met.select(*_KEY, F.size("words").cast("long").alias("n_words"), F.explode(F.array(matches)).alias("matches"))
     covered = F.aggregate(
         "matches",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
@@ -194,16 +203,37 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         ),
     )["n"]
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["item_ids"]))))
-    n_hit = F.coalesce(covered, F.lit(0)).cast("long")
-    return compared.select(
-        "row", "n_words", n_hit.alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids")
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
+    return compared.filter(F.size("matches") > 0).select(*_KEY, "n_words", covered.cast("long").alias("n_hit"), ids.alias("item_ids"))
+
+
+def _contaminated() -> Column:
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids and contaminated of each row of ``docs``.
+
+    Repeated rows give the same result each; null and empty texts have no words and are not
+    contaminated. Words are counted in the scan, so no text is exchanged for it.
+    """
+    found = hits(docs, benchmark, window).select(*_KEY, "n_hit", "item_ids")
+    rows = _keyed(docs.select("doc_id", "text")).select("doc_id", *_KEY, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    return (
+        rows.join(found, _KEY, "left")
+        .select(
+            "doc_id",
+            "n_words",
+            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        )
+        .withColumn("contaminated", _contaminated())
+    )
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     return marked(docs.select("doc_id", "text"), benchmark).select(
-        "row.doc_id",
+        "doc_id",
         "n_words",
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
@@ -213,8 +243,15 @@ def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    return marked(docs, benchmark).filter(~F.col("contaminated")).select("row.*")
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    Rows that a filter over the contaminated ones does not hold are kept where they are read; the few it
+    holds are joined.
+    """
+    bad = stored(hits(docs, benchmark).filter(_contaminated()).select(F.col("key").alias("__key"), F.col("key2").alias("__key2")))
+    names = ["__key", "__key2"]
+    rows = docs.withColumns({"__key": F.xxhash64("doc_id", "text"), "__key2": F.xxhash64(F.lit("second"), "doc_id", "text")})
+    return without(rows, bad, names).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 OP10_SQL = r"""

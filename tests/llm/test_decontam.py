@@ -5,6 +5,7 @@ import random
 import re
 
 from runlore.llm import decontam
+from runlore.plans import pruning
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -83,3 +84,12 @@ def test_proximity(spark):
         if gaps and min(gaps) <= 4:
             want[(d, p - 2)] = min(gaps)
     assert {(r.key, r.start): r.gap for r in got.collect()} == want
+
+
+def test_many_terms_and_documents_take_the_filters(spark, docs_of, monkeypatch):
+    docs, bench = cases()
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    monkeypatch.setattr(pruning, "BROADCAST_KEYS", 3)
+    assert sorted(map(tuple, decontam.op10(docs_of(docs), items).collect()), key=repr) == plain(docs, bench)
+    kept = decontam.decontaminated(docs_of(docs), items)
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r[0]) for r in plain(docs, bench) if not r[-1])
