@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runlore.llm.common import row_id, stored
 from runlore.llm.components import components
+from runlore.plans.pruning import likely, without
 
 # 64 bits in five blocks. Two fingerprints that differ in at most 3 bits agree in at least two of
 # them, so every such pair meets under one of the ten pairs of blocks.
@@ -176,16 +177,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("__row", row_id(docs))
     # the hash stands in for doc_id, so that repeated ids are told apart
     found = near_duplicates(marked.select(F.col("__row").alias("doc_id"), "text"))
-    ids = marked.select(F.col("__row").alias("row"), "doc_id").distinct()
-    kept = (
-        found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-        .distinct()
-        .join(ids, "row")
-        .groupBy("group")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))["row"].alias("__kept"))
-    )
-    return (
-        marked.join(kept.select("__kept"), F.col("__row") == F.col("__kept"), "left_semi")
-        .dropDuplicates(["__row"])
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    ids = marked.select(F.col("__row").alias("row"), "doc_id").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    rows = stored(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).distinct().join(ids, "row"))
+    kept = rows.groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row"))["row"].alias("row")
     )
+    fate = stored(rows.join(kept.select("row", F.lit(True).alias("kept")), "row", "left").select(F.col("row").alias("__row"), "n", F.coalesce("kept", F.lit(False)).alias("kept")))
+    # most rows stay where they are read; only rows that occur more than once meet
+    single = without(marked, fate.filter("not kept or n > 1"), ["__row"])
+    several = fate.filter("kept and n > 1").select("__row")
+    repeated = likely(marked, several, ["__row"]).join(several, "__row", "left_semi").dropDuplicates(["__row"])
+    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
