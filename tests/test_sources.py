@@ -162,7 +162,7 @@ def test_streamed_history_tells_what_changed(spark, table, tmp_path):
     for i, name in enumerate(["o/a", "o/b"]):
         table("runs", [run(i, "2024-01-01", name)]).coalesce(1).write.mode("append").parquet(source)
         ingest.start_run_history(
-            ingest.stream_table(spark, source, TABLES["runs"]), store, progress, buckets=4,
+            ingest.stream_table(spark, source, TABLES["runs"]), store, progress,
             after=lambda touched, n: seen.append([r.repository for r in touched.collect()]),
         ).awaitTermination()
     assert seen == [["o/a"], ["o/b"]] and keyed.read(spark, store).count() == 2
