@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.llm.common import stored
+from runlore.plans.pruning import likely
 
 # Headers that a 304 answer may renew (fixed values).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -128,28 +129,33 @@ def resolve(records: DataFrame) -> DataFrame:
     renewed = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
     kept = F.map_filter("source.headers", lambda k, _: ~F.array_contains(F.map_keys(renewed), k))
     merged = F.when(F.col("used"), F.map_concat(kept, renewed))
+    # records without a source have no hash, so they match nothing; their own id spreads them
+    own = stored(
+        stated.withColumn("__s", F.when(F.col("used"), F.col("source")))
+        .withColumn("__to", F.coalesce("__s.id", F.xxhash64("record_id")))
+        .withColumn("merged", merged)
+        .select("record_id", "url_key", "state", "merged", "__to", F.struct("__s.id", "__s.hash").alias("__s"))
+    )
+    full = records.filter((F.col("kind") == "response") & (F.col("status") == 200) & F.col("payload").isNotNull())
+    asked_for = own.select(F.col("__s.id").alias("__id"), F.col("__s.hash").alias("__hash")).dropna()
+    # bodies that no revisit stands for are left where they are read
     bodies = (
-        records.filter((F.col("kind") == "response") & (F.col("status") == 200) & F.col("payload").isNotNull())
-        .select(F.col("record_id").alias("__id"), F.xxhash64("payload").alias("__hash"), "payload")
+        likely(full.select(F.col("record_id").alias("__id"), F.xxhash64("payload").alias("__hash"), "payload"), asked_for, ["__id", "__hash"])
         .groupBy("__id", "__hash")
         .agg(F.min("payload").alias("payload"))
     )
-    # records without a source have no hash, so they match nothing; their own id spreads them
-    own = stated.withColumn("__s", F.when(F.col("used"), F.col("source"))).withColumn(
-        "__to", F.coalesce("__s.id", F.xxhash64("record_id"))
-    )
     met = own.join(bodies, (F.col("__to") == F.col("__id")) & (F.col("__s.hash") == F.col("__hash")), "left")
     return met.select(
-        "record_id", "url_key", "state", F.col("__s.id").alias("source_id"), merged.alias("headers"), "payload"
+        "record_id", "url_key", "state", F.col("__s.id").alias("source_id"), F.col("merged").alias("headers"), "payload"
     )
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """The table ``pages`` seen as crawl records: a response of each page, and a revisit of most.
+    """The table ``pages`` seen as crawl records: a response and a revisit of each page.
 
     The table has neither times nor headers, so they are made from page_id: revisits come up to five
     days after the response, at the same time or before it, ask for another spelling of the URL, and
-    a part of them carries another validator or none.
+    a part of them carries another validator or none. Records of a page without an id have no time.
     """
     n = F.col("page_id")
     start = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (n * 7919 % 100_000) * 60_000_000)
@@ -172,7 +178,7 @@ def captures(pages: DataFrame) -> DataFrame:
         ).alias("headers"),
         F.col("html").alias("payload"),
     )
-    revisit = pages.filter(n % 4 != 1).select(
+    revisit = pages.select(
         (n * 2 + 1).alias("record_id"),
         F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"),
         (start + F.make_dt_interval(days=(n % 7 - 1).cast("int"))).alias("captured_at"),
@@ -222,8 +228,8 @@ response AS (
 revisit AS (
   SELECT n * 2 + 1 AS id, url_key, start + (n % 7 - 1) * 86400000000 AS at, n,
     CASE WHEN n % 5 <> 0 THEN CASE WHEN n % 6 = 0 THEN '"other"' WHEN n % 2 = 0 THEN 'W/' || tag ELSE tag END END AS etag,
-    CASE WHEN n % 3 <> 0 THEN 'day ' || (n % 30) END AS modified
-  FROM keyed WHERE n % 4 <> 1),
+    CASE WHEN n % 3 <> 0 THEN 'day ' || (n % 30) END AS modified, row_number() OVER () AS nth
+  FROM keyed),
 met AS (
   SELECT v.id, v.url_key, v.etag, v.n, s.id AS sid, s.html, s.etag AS setag, s.modified AS smodified, s.n AS sn,
     CASE WHEN s.id IS NULL THEN 'missing'
@@ -231,7 +237,7 @@ met AS (
       WHEN v.modified IS NOT NULL THEN CASE WHEN v.modified = s.modified THEN 'resolved' ELSE 'mismatch' END
       ELSE 'unverified' END AS state
   FROM revisit v LEFT JOIN response s ON s.url_key = v.url_key AND s.at < v.at
-  QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY s.at DESC NULLS LAST, s.id DESC) = 1)
+  QUALIFY row_number() OVER (PARTITION BY v.nth ORDER BY s.at DESC NULLS LAST, s.id DESC) = 1)
 SELECT id AS record_id, url_key, state,
   CASE WHEN used THEN sid END AS source_id,
   CASE WHEN used THEN concat_ws(';', 'content-type=text/html', 'date=r' || n, 'etag=' || coalesce(etag, setag),

@@ -84,3 +84,10 @@ def test_query_matches_its_oracle(spark):
 
     sf = "/root/testdata/sf0.001"
     assert difference(spark, connection(sf), lambda s, d: warc.op1(table(s, d, "pages")), warc.OP1_SQL, sf) is None
+
+
+def test_every_page_has_a_revisit(spark):
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"b{i}") for i in range(50)] + [(None, "http://h.org/x", "b"), (7, None, None)], "page_id long, url string, html string")
+    found = warc.op1(pages).collect()
+    assert len(found) == 52
+    assert sum(r.record_id is None and r.state == "missing" for r in found) == 1
