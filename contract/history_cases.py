@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contract.case import Tables, case
-from runlore.operators import people, runs, slices
+from runlore.operators import ancestry, commits, people, runs, slices
 
 DAY_US = 86_400_000_000
 WEEK_US = 7 * DAY_US
@@ -272,3 +272,33 @@ def _(t: Tables):
 @case("c18_committer_standing", STANDING)
 def _(t: Tables):
     return people.committer_standing(t["runs"], t["commits"])
+
+
+# what either side of a run's range reaches, commit by commit
+_REACHED = """
+SELECT r.repository, r.run_id, r.{side}_sha AS sha FROM {{{{run_ranges}}}} r
+  WHERE EXISTS (FROM known k WHERE k.repository = r.repository AND k.sha = r.base_sha)
+    AND EXISTS (FROM known k WHERE k.repository = r.repository AND k.sha = r.head_sha)
+  UNION
+  SELECT x.repository, x.run_id, p.parent_sha FROM {side}_reached x
+  JOIN {{{{commit_parents}}}} p ON p.repository = x.repository AND p.sha = x.sha WHERE p.parent_sha IS NOT NULL"""
+COMMITS_IN_RANGE = f"""
+SELECT * FROM (WITH RECURSIVE known AS (SELECT DISTINCT repository, sha FROM {{commit_parents}}),
+head_reached AS ({_REACHED.format(side='head').replace('{{', '{').replace('}}', '}')}),
+base_reached AS ({_REACHED.format(side='base').replace('{{', '{').replace('}}', '}')})
+SELECT h.* FROM head_reached h JOIN known USING (repository, sha) ANTI JOIN base_reached b
+  ON b.repository = h.repository AND b.run_id = h.run_id AND b.sha = h.sha) f"""
+
+
+@case("c28_commits_in_range", COMMITS_IN_RANGE)
+def _(t: Tables):
+    return ancestry.commits_between(t["run_ranges"], t["commit_parents"])
+
+
+@case("c20_metrics_of_ranges", """
+SELECT r.repository, r.run_id, count(DISTINCT c.sha) AS git_commits
+FROM {runs} r LEFT JOIN (%s) c ON c.repository = r.repository AND c.run_id = r.run_id GROUP BY 1, 2""" % COMMITS_IN_RANGE)
+def _(t: Tables):
+    """The commits of a run derived from the history instead of being handed in."""
+    derived = ancestry.commits_between(t["run_ranges"], t["commit_parents"])
+    return commits.commit_metrics(t["runs"], derived, t["commits"], t["commit_files"]).select("repository", "run_id", "git_commits")

@@ -129,6 +129,27 @@ FROM (SELECT repository, run_id, {number} AS n, {d.explode('0', '5', '10')} AS b
 WHERE back = 0 OR (n % 3 = 0 AND n >= back)"""
 
 
+def commit_parents(d: Dialect) -> str:
+    """A history with forks and merges, in stretches of forty commits of a repository; clocks are often wrong."""
+    m = d.idiv("o_orderkey", "5")
+    when = "1696291200000000 + (o_orderkey * 7919 + o_custkey * 31) % 10368000 * 1000000"
+    back = f"CASE WHEN place = 1 THEN 15 WHEN m % 40 = 0 THEN NULL WHEN m % 4 = 3 THEN 10 ELSE 5 END"
+    return f"""
+SELECT {repository('n')} AS repository, 'c' || {text('n')} AS sha, 'c' || {text(f'n - {back}')} AS parent_sha,
+  CAST(place AS INT) AS place, {d.ts('us')} AS committed_at
+FROM (SELECT o_orderkey AS n, {m} AS m, {when} AS us, {d.explode('0', '1')} AS place FROM {{orders}}) o
+WHERE place = 0 OR (m % 6 = 0 AND m % 40 >= 3)"""
+
+
+def run_ranges(d: Dialect) -> str:
+    """The head commit of a run and a commit some way before it, which may be missing or on another branch."""
+    number = "CAST(substring(head_sha, 2) AS BIGINT)"
+    return f"""
+SELECT repository, run_id, head_sha,
+  CASE WHEN run_id % 19 <> 0 THEN 'c' || {text(f'{number} - 5 * (run_id % 13 - 1)')} END AS base_sha
+FROM {{runs}}"""
+
+
 def commit_files(d: Dialect) -> str:
     return f"""
 SELECT {repository('l_orderkey')} AS repository, 'c' || {text('l_orderkey')} AS sha,
@@ -376,7 +397,7 @@ FROM {{events}} WHERE event_id % 5 = 0"""
 VIEWS: dict[str, Callable[[Dialect], str]] = {
     f.__name__: f
     for f in (
-        runs, tied_runs, commits, run_commits, commit_files, jobs, job_logs, pull_requests, workflows,
+        runs, tied_runs, commits, run_commits, commit_parents, run_ranges, commit_files, jobs, job_logs, pull_requests, workflows,
         file_contents, root_contents, repo_files, repo_languages, run_languages, repositories,
         file_metrics, java_symbols, tasks,
     )
