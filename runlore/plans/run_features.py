@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runlore import schemas
 from runlore.functions.testlogs import parser_name, test_facts
-from runlore.operators import changes, commits, people, repositories, runs, slices
+from runlore.operators import ancestry, changes, commits, people, repositories, runs, slices
 from runlore.operators.ordered import join_facts
 from runlore.operators.runs import RUN_KEY
 from runlore.plans.pruning import likely, only, within
@@ -153,7 +153,8 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
 
     All parts are keyed by (repository, run_id), so the row side is exchanged once for all joins. With a
     selection, every table is first restricted to its repositories, the commit tables to the commits
-    that are compared, and the logs to the selected runs' jobs.
+    that are compared, and the logs to the selected runs' jobs. Without a table ``run_commits`` the commits
+    of the runs are derived from ``commit_parents``.
     """
     s = settings or Settings()
     all_runs, partial = tables["runs"], selected is not None
@@ -163,6 +164,8 @@ def run_features(tables: Tables, selected: DataFrame | None = None, settings: Se
     code = s.enabled("fetch_sloc") or s.enabled("fetch_commit_details")
     facts = repository_facts(tables)
 
+    if code and "run_commits" not in tables:
+        tables = dict(tables) | {"run_commits": ancestry.commits_of_runs(tables["runs"], tables["commits"], tables["commit_parents"])}
     # one look at the repositories' sizes serves every operator that orders by time
     ordered = [tables["runs"], tables["commits"], tables["run_commits"]] if code else [tables["runs"]]
     skew = runs.repository_cuts(*ordered, target_rows=s.target_rows)

@@ -29,6 +29,7 @@ TABLES: dict[str, str] = {
         " author_login string, message string, committed_at timestamp"
     ),
     "run_commits": "repository string, run_id bigint, sha string",
+    "commit_parents": "repository string, sha string, parent_sha string, place int, committed_at timestamp",
     "commit_files": "repository string, sha string, filename string, status string, patch string",
     "pull_requests": (
         "repository string, head_sha string, number bigint, title string, body string,"
