@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contract.case import Tables, case
 from contract.text_cases import MANIFEST_COUNTS
 from runlore.functions import files
-from runlore.operators import changes, commits, repositories
+from runlore.operators import changes, commits, linediff, repositories
 
 _PRODUCTION = "'" + "|".join(s.replace(".", "\\.") for s in files.PRODUCTION_SUFFIXES) + "'"
 _DOC_DIRECTORIES = "[" + ", ".join(f"'{d}'" for d in files.DOC_DIRECTORIES) + "]"
@@ -214,3 +214,44 @@ def _(t: Tables):
 @case("c24_ci_config_churn_split", CI_CHURN)
 def _(t: Tables):
     return commits.ci_config_churn(t["runs"], t["commits"], t["commit_files"], target_rows=20)
+
+
+def _lines(text: str) -> str:
+    body = f"CASE WHEN ends_with({text}, chr(10)) THEN left({text}, length({text}) - 1) ELSE {text} || chr(1) END"
+    return f"CASE WHEN {text} IS NULL OR {text} = '' THEN [] ELSE string_split({body}, chr(10)) END"
+
+
+# longest common subsequences by rows of the table of all prefixes, one old line after the other
+CONTENT_CHANGES = f"""
+SELECT * FROM (WITH RECURSIVE pairs AS (SELECT repository, sha, parent_sha FROM {{commits}} WHERE parent_sha IS NOT NULL),
+h AS (SELECT p.repository, p.sha, f.path AS filename, f.content AS new, true AS is_new FROM pairs p
+  JOIN {{file_contents}} f ON f.repository = p.repository AND f.sha = p.sha),
+o AS (SELECT p.repository, p.sha, f.path AS filename, f.content AS old, true AS is_old FROM pairs p
+  JOIN {{file_contents}} f ON f.repository = p.repository AND f.sha = p.parent_sha),
+changed AS (SELECT * FROM h FULL JOIN o USING (repository, sha, filename)
+  WHERE is_new IS NULL OR is_old IS NULL OR new IS DISTINCT FROM old),
+texts AS (SELECT DISTINCT old, new, {_lines('old')} AS a, {_lines('new')} AS b FROM changed WHERE is_old AND is_new),
+step AS (
+  SELECT old, new, a, b, 0 AS i, list_transform(b, lambda x: 0) AS row FROM texts
+  UNION ALL
+  SELECT old, new, a, b, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k:
+    greatest(row[k], CASE WHEN k > 1 THEN row[k - 1] ELSE 0 END + CASE WHEN b[k] = a[i + 1] THEN 1 ELSE 0 END))))
+  FROM step WHERE i < len(a)),
+common AS (SELECT old, new, coalesce(row[len(b)], 0) AS same FROM step WHERE i = len(a))
+SELECT repository, sha, filename, CASE WHEN is_old IS NULL THEN 'A' WHEN is_new IS NULL THEN 'D' ELSE 'M' END AS status,
+  CAST(len({_lines('c.new')}) - coalesce(m.same, 0) AS BIGINT) AS added, CAST(len({_lines('c.old')}) - coalesce(m.same, 0) AS BIGINT) AS deleted
+FROM changed c LEFT JOIN common m ON c.is_old AND c.is_new AND m.old IS NOT DISTINCT FROM c.old AND m.new IS NOT DISTINCT FROM c.new) f"""
+
+
+@case("d03_lines_from_contents", CONTENT_CHANGES)
+def _(t: Tables):
+    return linediff.content_changes(t["commits"], t["file_contents"])
+
+
+@case("d01_d04_stats_from_contents", f"""
+SELECT repository, sha, count(*) FILTER (status = 'A') AS gh_files_added, count(*) FILTER (status = 'D') AS gh_files_deleted,
+  count(*) FILTER (status = 'M') AS gh_files_modified, CAST(sum(added) AS BIGINT) AS gh_lines_added, CAST(sum(deleted) AS BIGINT) AS gh_lines_deleted
+FROM ({CONTENT_CHANGES}) c GROUP BY 1, 2""")
+def _(t: Tables):
+    stats = changes.diff_stats(linediff.content_changes(t["commits"], t["file_contents"]))
+    return stats.select("repository", "sha", "gh_files_added", "gh_files_deleted", "gh_files_modified", "gh_lines_added", "gh_lines_deleted")

@@ -23,7 +23,11 @@ COMMIT_KEY = ["repository", "sha"]
 
 
 def classified_files(commit_files: DataFrame) -> DataFrame:
-    """Changed files with their kind, suffix and patch size; the patch itself is left behind."""
+    """Changed files with their kind, suffix and patch size; the patch itself is left behind.
+
+    Columns ``added`` and ``deleted``, as ``content_changes`` gives them, stand in for a patch.
+    """
+    counted = "patch" not in commit_files.columns
     return commit_files.filter(F.col("filename") != "").select(
         *COMMIT_KEY,
         "filename",
@@ -31,8 +35,8 @@ def classified_files(commit_files: DataFrame) -> DataFrame:
         file_kind(F.col("filename")).alias("kind"),
         file_suffix(F.col("filename")).alias("suffix"),
         top_directory(F.col("filename")).alias("top"),
-        lines_added(F.col("patch")).alias("added"),
-        lines_deleted(F.col("patch")).alias("deleted"),
+        F.col("added") if counted else lines_added(F.col("patch")).alias("added"),
+        F.col("deleted") if counted else lines_deleted(F.col("patch")).alias("deleted"),
     )
 
 
