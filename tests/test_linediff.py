@@ -68,4 +68,4 @@ def test_no_text_is_exchanged(spark):
     contents = spark.createDataFrame([("r", f"s{i}", "f", f"text {i}\n") for i in range(9)], "repository string, sha string, path string, content string")
     known = spark.createDataFrame([("r", f"s{i}", f"s{i - 1}") for i in range(1, 9)], "repository string, sha string, parent_sha string")
     passed = _exchanged(content_changes(known, contents, 2))
-    assert "lines" in passed and "content" not in passed
+    assert "ours" in passed and "content" not in passed

@@ -179,12 +179,16 @@ def _exchanged(df):
             columns = node.output()
             found |= {columns.apply(i).name() for i in range(columns.size())}
         if name == "AdaptiveSparkPlanExec":
-            queue.append(node.inputPlan())
+            queue.append(node.initialPlan())
         children = node.children()
         queue += [children.apply(i) for i in range(children.size())]
     return found
 
 
+def test_exchanges_are_seen(spark):
+    assert _exchanged(spark.range(9).selectExpr("id % 3 AS a", "id AS b").groupBy("a").agg({"b": "max"})) >= {"a"}
+
+
 def test_bloom_filter_keeps_every_key_and_few_others(spark, monkeypatch):
     monkeypatch.setattr(pruning, "BROADCAST_KEYS", 10)
     rows = spark.range(200_000).selectExpr("concat('o/', id % 100) as repository", "id as job_id", "repeat('x', 20) as log")
