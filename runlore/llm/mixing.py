@@ -31,33 +31,55 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def _ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` cut into ranges of ``order``, the number of the range as ``part``."""
+    return stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+
+
+def _earlier(ranged: DataFrame, **sums: Column) -> DataFrame:
+    """For each range the sums over the ranges before it, as ``earlier_...``: a row for each range, so a small table."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = ranged.groupBy("part").agg(*[value.alias(name) for name, value in sums.items()])
+    return per_part.select("part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"earlier_{n}") for n in sums])
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, n (documents with words) and target of each source.
 
     Sources in code point order, null last, weigh 5, 2, 1, 5, ... Shares above the cap are cut and
     the excess goes to the others by weight until none is above: sources are capped in the order of
-    cap / weight, as long as the level that the rest would get lies above. The table has one row
-    per source, so its windows are as small as the number of sources.
+    cap / weight, as long as the level that the rest would get lies above. Both orders are cut into
+    ranges, and a range adds what the ones before it sum up to, so no task sees all sources.
     """
     per = sizes.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n")
     )
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    last = F.col("source").asc_nulls_last()
+    named = _ranged(per, last)
+    place = F.col("earlier_rows") + F.row_number().over(Window.partitionBy("part").orderBy(last)) - 1
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    by = Window.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last())
-    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
-    ordered = (
-        per.withColumn("weight", weights[place % len(WEIGHTS)])
+    weighted = (
+        named.join(F.broadcast(_earlier(named, rows=F.count(F.lit(1)))), "part")
+        .withColumn("weight", weights[(place % len(WEIGHTS)).cast("int")])
         .withColumn("cap", F.col("source_size") * F.lit(CAP))
-        .withColumn("level", (F.sum("source_size").over(every) * F.lit(SHARE) - before) / rest)
+        .withColumn("ratio", F.col("cap") / F.col("weight"))
+        .drop("part", "earlier_rows")
+    )
+    ranged = _ranged(weighted, F.col("ratio"), last)
+    within = Window.partitionBy("part").orderBy("ratio", last).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda name: F.col(f"earlier_{name}") + F.coalesce(F.sum(name).over(within), F.lit(0.0))
+    every = ranged.agg(F.struct(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).alias("every")).scalar()
+    ordered = stored(
+        ranged.join(F.broadcast(_earlier(ranged, cap=F.sum("cap"), weight=F.sum("weight"))), "part")
+        .withColumn("level", (every["words"] * F.lit(SHARE) - before("cap")) / (every["weight"] - before("weight")))
         .withColumn("capped", F.col("level") * F.col("weight") > F.col("cap"))
+        .select("source", "source_size", "n", "weight", "cap", "ratio", "level", "capped")
     )
-    level = F.first(F.when(~F.col("capped"), F.col("level")), ignorenulls=True).over(every)
-    return ordered.withColumn("shared", level).select(
+    first = F.struct("ratio", F.col("source").isNull(), "source")
+    shared = ordered.filter(~F.col("capped")).agg(F.min_by("level", first).alias("shared")).scalar()
+    return ordered.select(
         "source", "source_size", "n",
-        F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("shared") * F.col("weight"))).alias("target"),
+        F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("cap"), shared * F.col("weight"))).alias("target"),
     )
 
 

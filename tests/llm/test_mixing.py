@@ -86,3 +86,16 @@ def test_a_hot_source_over_several_levels(spark):
     for source in {r["source"] for r in rows}:
         own = [r for r in rows if r["source"] == source]
         assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 50
+
+
+def test_many_sources_are_ranked_in_ranges(spark):
+    # resharing ends where nothing is above its cap, whatever the number of sources
+    sizes = spark.range(100_000).selectExpr(
+        "CASE WHEN id % 50000 <> 7 THEN concat('s', lpad(id % 50000, 5, '0')) END AS source", "hash(id % 50000) % 7 * 3 + 30 AS size"
+    ).unionByName(spark.createDataFrame([("t", 2_000_000)], "source string, size bigint"))
+    got = {r.source: r for r in mixing.targets(sizes).collect()}
+    own = {s: r.source_size for s, r in got.items()}
+    want = reshared(own)
+    assert len(got) == 50_001 and sum(own.values()) > 2_000_000
+    assert all(got[s].target == pytest.approx(want[s], rel=1e-9) for s in want)
+    assert sum(r.target for r in got.values()) == pytest.approx(1.5 * sum(own.values()))
