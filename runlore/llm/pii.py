@@ -4,8 +4,9 @@ Four base patterns with a check each always count. Two generators with high reca
 spans. Positives are checked base matches, as they stand and written in the other ways that people
 use: a phone without its country code, an address with (at). A proposal without a base match is not
 thereby a negative: one of the same form as many positives has no label and is left out of fitting
-and calibration. Trees learn from format and the words before, and a threshold calibrated on values
-kept from fitting selects the proposals that look like personal data.
+and calibration, unless it stands where positives hardly ever do. Trees learn from format and the words
+on both sides, and a threshold calibrated on values kept from fitting selects the proposals that look
+like personal data.
 """
 
 from __future__ import annotations
@@ -50,6 +51,12 @@ CONTEXT = 24
 # is positive, and at least this many are.
 PRECISION = 0.97
 LEAST = 20
+# A form is a look-alike's in surroundings that are so many times as frequent among what has no label as
+# among the positives of that form.
+STRANGE = 3
+# Surroundings also differ by the last word before, in so many classes by its hash. Trees do not see it: the
+# words before base matches are not all those before other spans.
+WORDS = 16
 
 
 def _digits(value: Column) -> Column:
@@ -75,8 +82,8 @@ def base_spans(text: Column, kind: str, context: int = 0) -> Column:
     return found if guard is None else F.when(F.contains(text, F.lit(guard)), found).otherwise(F.slice(found, 1, 0))
 
 
-def _features(value: Column, before: Column) -> list[Column]:
-    near = F.lower(before)
+def _features(value: Column, before: Column, after: Column) -> list[Column]:
+    near, next_ = F.lower(before), F.lower(after)
     digits = F.length(_digits(value))
     groups = F.size(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)))
     return [
@@ -102,18 +109,25 @@ def _features(value: Column, before: Column) -> list[Column]:
         F.rlike(near, F.lit(r"\b(ip|host|server|address|mail|e-mail|email|contact)\b")),
         F.rlike(value, F.lit(r"[(\[]at[)\]]")),
         F.rlike(value, F.lit(r"[(\[]dot[)\]]|[A-Za-z0-9-]\.[A-Za-z0-9-]")),
+        F.rlike(near, F.lit(_THING)),
+        F.rlike(next_, F.lit(_THING)),
+        F.rlike(next_, F.lit(r"\b(ext|extension|tel|telephone|phone|call|fax|mobile|cell|mail|e-mail|email)\b")),
     ]
 
 
-_WIDTH = 22
+_THING = r"\b(order|invoice|part|item|ticket|case|ref|reference|serial|sku|isbn|code|version|build|batch|model)\b"
+_WIDTH = 25
 # Separators, words before a phone and a written @: bare digits without these have no form by which to
 # tell a phone from an order number.
 _FORM = 0b111111 | 1 << 17 | 1 << 20
+# The words around a span, and of these the ones beside which a number is called.
+_AROUND = 0b111 << 17 | 0b111 << 22
+_CALLED = 1 << 17 | 1 << 24
 
 
-def _pattern(value: Column, before: Column) -> Column:
-    """The features as bits of a long; there are at most 2^22 patterns, and far fewer occur."""
-    bits = [F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(_features(value, before))]
+def _pattern(value: Column, before: Column, after: Column) -> Column:
+    """The features as bits of a long; there are at most 2^25 patterns, and far fewer occur."""
+    bits = [F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(_features(value, before, after))]
     return reduce(lambda a, b: a + b, bits)
 
 
@@ -134,7 +148,7 @@ def _cut(run: Column) -> Column:
                 ends,
                 lambda j: F.struct(
                     (run["start"] + parts[i]["start"]).alias("start"), (run["start"] + parts[j]["end"]).alias("end"),
-                    text(i, j).alias("value"), run["before"].alias("before"), F.lit(False).alias("whole"),
+                    text(i, j).alias("value"), run["before"].alias("before"), run["after"].alias("after"), F.lit(False).alias("whole"),
                 ),
             )
 
@@ -148,7 +162,7 @@ def _cut(run: Column) -> Column:
 
 
 def _whole(m: Column) -> Column:
-    return F.struct(*[m[f].alias(f) for f in ("start", "end", "value", "before")], F.lit(True).alias("whole"))
+    return F.struct(*[m[f].alias(f) for f in ("start", "end", "value", "before", "after")], F.lit(True).alias("whole"))
 
 
 def _once(docs: DataFrame, name: str, value: Column) -> DataFrame:
@@ -157,10 +171,10 @@ def _once(docs: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def proposed(docs: DataFrame, generator: str, base: Column) -> DataFrame:
-    """``docs`` with ``__free``: proposed spans that overlap no span of ``base``, as (start, end, value, before, whole).
+    """``docs`` with ``__free``: proposed spans that overlap no span of ``base``, as (start, end, value, before, after, whole).
 
-    They may overlap each other. ``before`` are the words before the run, for its parts too; these are
-    not ``whole``. The steps are columns of their own, because lambdas that are nested too deeply are
+    They may overlap each other. ``before`` and ``after`` are the words around the run, for its parts too; these
+    are not ``whole``. The steps are columns of their own, because lambdas that are nested too deeply are
     not resolved.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -188,59 +202,83 @@ def _forms(kind: str, value: Column) -> Column:
     return F.array(value)
 
 
-def _examples(docs: DataFrame, generator: str) -> DataFrame:
-    """value, before, fold and rank: all ways to write the checked base matches of a generator's kinds, and,
-    with rank -1, its proposals that overlap no base match. All ways of one value share its fold."""
+def _examples(docs: DataFrame) -> DataFrame:
+    """generator, value, before, after, fold and rank, from one scan: all ways to write the checked base matches of each
+    generator's kinds, and, with rank -1, its proposals that overlap no base match. All ways of one value share its fold."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    kinds = GENERATORS[generator][1]
-    row = lambda value, of, before, rank, whole: F.struct(
-        value.alias("value"), of.alias("of"), before.alias("before"), F.lit(rank).alias("rank"), whole.alias("whole")
+    row = lambda generator, value, of, m, rank, whole: F.struct(
+        F.lit(generator).alias("generator"), value.alias("value"), of.alias("of"), m["before"].alias("before"),
+        m["after"].alias("after"), F.lit(rank).alias("rank"), whole.alias("whole"),
     )
 
-    def positives(kind: str) -> Column:
-        ways = lambda m: F.transform(_forms(kind, m["value"]), lambda v: row(v, m["value"], m["before"], KINDS.index(kind), F.lit(True)))
+    def positives(generator: str, kind: str) -> Column:
+        ways = lambda m: F.transform(_forms(kind, m["value"]), lambda v: row(generator, v, m["value"], m, KINDS.index(kind), F.lit(True)))
         return F.flatten(F.transform(F.col(f"__base.{kind}"), ways))
 
+    def others(generator: str) -> Column:
+        return F.transform("__free", lambda p: row(generator, p["value"], p["value"], p, -1, p["whole"]))
+
     base = F.struct(*[base_spans(text, k, CONTEXT).alias(k) for k in KINDS])
     every = F.concat(*[ranked(F.col(f"__base.{k}"), i) for i, k in enumerate(KINDS)])
-    found = proposed(_once(docs.select("text"), "__base", base), generator, every)
-    others = F.transform("__free", lambda p: row(p["value"], p["value"], p["before"], -1, p["whole"]))
-    rows = found.select(F.explode(F.concat(*[positives(k) for k in kinds], others)).alias("p")).select("p.*")
-    return rows.withColumn("fold", F.pmod(F.xxhash64("of"), F.lit(3))).drop("of")
+    found, rows = _once(docs.select("text"), "__base", base), []
+    for generator, (_, kinds) in GENERATORS.items():
+        found = _once(proposed(found, generator, every), f"__{generator}", others(generator)).drop("__free")
+        rows += [F.col(f"__{generator}"), *[positives(generator, k) for k in kinds]]
+    examples = found.select(F.explode(F.concat(*rows)).alias("p")).select("p.*")
+    return examples.withColumn("fold", F.pmod(F.xxhash64("of"), F.lit(3))).drop("of")
+
+
+def _unlike(pattern: np.ndarray, word: np.ndarray, n: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """Which unlabelled patterns stand in surroundings, without a word for calling, that are strange to the positives.
+
+    Surroundings are strange if they hold at least LEAST unlabelled values, and STRANGE times the share of these that they
+    hold of the positives.
+    """
+    names, place = np.unique((pattern & _AROUND) * WORDS + word, return_inverse=True)
+    counted = lambda chosen: np.bincount(place, n * chosen, len(names))
+    known, free = counted(positive), counted(unlabelled)
+    strange = (free >= LEAST) & (free * known.sum() > STRANGE * known * free.sum())
+    return unlabelled & strange[place] & (pattern & _CALLED == 0)
 
 
 def train(docs: DataFrame) -> dict[tuple[str, str], Boosted]:
     """One calibrated model per generator and kind, from the base matches and proposals in all texts.
 
-    Spark counts the distinct values of (feature pattern, rank, fold); these counts, bounded by the
-    number of patterns, reach the driver. A card's digits tell its label in any form, and a value that
+    Spark counts the distinct values of (feature pattern, class of the word before, rank, fold); these counts,
+    bounded by the numbers of patterns and classes, reach the driver. A card's digits tell its label in any form, and a value that
     the base pattern of its kind rejects is a negative; other proposals of the form of at least
-    LEAST positives have no label for a phone or an address. Parts of a run have none for a card, as
-    one in ten of any digits passes its check.
+    LEAST positives have no label for a phone or an address, but those written like a phone where phones are
+    strange are negatives. Parts of a run have none for a card, as one in ten of any digits passes its check.
     """
+    value, free = F.col("value"), F.col("rank") == -1
+    card = free & ~F.startswith(value, F.lit("+")) & _checked("card", value)
+    rejected = free & F.startswith(value, F.lit("+"))
+    word = F.pmod(F.xxhash64(F.regexp_extract(F.lower("before"), r"(\w*)\W*$", 1)), F.lit(WORDS))
+    counted = (
+        _examples(docs)
+        .select("generator", _pattern(value, F.col("before"), F.col("after")).alias("pattern"), word.alias("word"), "fold", "rank", "value", "whole", card.alias("card"), rejected.alias("rejected"))
+        .distinct()
+        .groupBy("generator", "pattern", "word", "fold", "rank", "whole", "card", "rejected")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
     models = {}
     for generator, (_, kinds) in GENERATORS.items():
-        value, free = F.col("value"), F.col("rank") == -1
-        card = free & ~F.startswith(value, F.lit("+")) & _checked("card", value)
-        rejected = free & F.startswith(value, F.lit("+"))
-        counted = (
-            _examples(docs, generator)
-            .select(_pattern(value, F.col("before")).alias("pattern"), "fold", "rank", "value", "whole", card.alias("card"), rejected.alias("rejected"))
-            .distinct()
-            .groupBy("pattern", "fold", "rank", "whole", "card", "rejected")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()
-        )
-        column = lambda name: np.array([r[name] for r in counted], np.int64)  # noqa: B023, E731
+        own = [r for r in counted if r["generator"] == generator]
+        column = lambda name: np.array([r[name] for r in own], np.int64)  # noqa: B023, E731
         pattern, fold, rank, n = (column(c) for c in ("pattern", "fold", "rank", "n"))
+        form = pattern & ~_AROUND
         for kind in kinds:
             positive = (rank == KINDS.index(kind)) | ((kind == "card") & (column("card") == 1))
             labelled = (column("whole") == 1) | (kind != "card")
             if kind in ("phone", "email"):
                 sure = positive & (fold != 0)
-                alike, place = np.unique(pattern[sure], return_inverse=True)
+                alike, place = np.unique(form[sure], return_inverse=True)
                 alike = alike[np.bincount(place, n[sure], len(alike)) >= LEAST]
-                labelled = labelled & ~((rank == -1) & (column("rejected") == 0) & np.isin(pattern, alike) & (pattern & _FORM != 0))
+                unlabelled = (rank == -1) & (column("rejected") == 0) & np.isin(form, alike) & (pattern & _FORM != 0)
+                if kind == "phone":
+                    unlabelled &= ~_unlike(pattern, column("word"), n, positive & np.isin(form, alike), unlabelled)
+                labelled = labelled & ~unlabelled
             models[generator, kind] = calibrated(
                 pattern[labelled], (n * positive)[labelled], n[labelled], fold[labelled], _WIDTH, PRECISION, LEAST
             )
@@ -266,7 +304,7 @@ def added_spans(free: Column, generator: str, models: Mapping[tuple[str, str], B
         def best(bits: Column) -> Column:
             return F.array_max(F.array(*[_over_threshold(models[generator, k], k, bits, p["value"]) for k in kinds]))["rank"]
 
-        rank = let(_pattern(p["value"], p["before"]), best)
+        rank = let(_pattern(p["value"], p["before"], p["after"]), best)
         return F.struct(p["start"].alias("start"), rank.alias("rank"), p["end"].alias("end"))
 
     return outermost(F.filter(F.transform(free, chosen), lambda s: s["rank"].isNotNull()))

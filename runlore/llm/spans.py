@@ -44,11 +44,12 @@ def scan(values: Column, zero: Column, step: Callable[[Column, Column], Column])
 
 
 def find_all(text: Column, pattern: str, context: int = 0) -> Column:
-    """All leftmost non-overlapping matches: array of (start, end, value, before).
+    """All leftmost non-overlapping matches: array of (start, end, value, before), with ``context`` also ``after``.
 
-    ``before`` holds the last ``context`` code points between the match before and this one.
+    ``before`` holds the last ``context`` code points between the match before and this one, ``after``
+    the first ones up to the next match.
     """
-    kind = "array<struct<start:int,end:int,value:string,before:string>>"
+    kind = f"array<struct<start:int,end:int,value:string,before:string{',after:string' if context else ''}>>"
 
     def placed(found: Column, pieces: Column) -> Column:
         sizes = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, v: F.char_length(p) + F.char_length(v))
@@ -61,6 +62,7 @@ def find_all(text: Column, pattern: str, context: int = 0) -> Column:
                     m["e"].alias("end"),
                     m["v"].alias("value"),
                     (F.right(pieces[i], F.lit(context)) if context else F.lit("")).alias("before"),
+                    *([F.left(pieces[i + 1], F.lit(context)).alias("after")] if context else []),
                 ),
             )
 

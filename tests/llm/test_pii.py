@@ -108,6 +108,25 @@ def test_neighbours_do_not_swallow_each_other(docs_of):
     assert {got[i] for i in range(600, 700)} == {"email:9:16,email:18:50"}
 
 
+def test_numbers_written_like_phones_stay_where_phones_are_strange(docs_of):
+    """Precision and recall of added spans, by surroundings and form, in forms of which no base match is."""
+    pick = random.Random(5)
+    forms = ["({}) 555-{}", "{}-555-{}", "{}.555.{}"]
+    number = lambda f: f.format(pick.randrange(200, 999), pick.randrange(1000, 9999))
+    said = ["call me at {} today", "my phone is {} now", "write or call: {}.", "fax {}"]
+    things = ["order {} was sent", "part {} in stock", "we measured {} in total", "see row {} below"]
+    rows = [(i, pick.choice(said).format("+1 " + number(pick.choice(forms)))) for i in range(900)]
+    people = [(i, pick.choice(said), pick.choice(forms)) for i in range(1000, 1600)]
+    others = [(i, pick.choice(things), pick.choice(forms)) for i in range(2000, 3200)]
+    rows += [(i, text.format(number(form))) for i, text, form in people + others]
+    added = {r.doc_id for r in pii.op5(docs_of(rows)).collect() if r.doc_id >= 1000 and r.spans}
+    for form in forms:
+        good = {i for i, _, f in people if f == form}
+        bad = {i for i, _, f in others if f == form}
+        assert len(added & good) >= 0.8 * len(good), (form, "recall")
+        assert len(added & bad) <= 0.1 * len(added & (good | bad)), (form, "precision")
+
+
 def test_the_threshold_stops_where_precision_first_fails():
     patterns, folds = np.repeat(np.arange(4), 3), np.tile(np.arange(3), 4)
     total = np.repeat([1000, 1000, 40, 1000], 3)
