@@ -1,10 +1,15 @@
-"""Slices of hot groups: the search for a row's slice and what it costs."""
+"""What grows with the rows: the search for a row's slice, columns that travel, joins of one stage."""
 
 import random
 
 from pyspark.sql import functions as F
 
+from contract.case import Tables
+from contract.text_cases import run_tables
+from runlore import session
 from runlore.operators import ordered
+from runlore.plans.run_features import run_features
+from runlore.plans.settings import Settings
 
 
 def numbered(spark, n, groups):
@@ -52,3 +57,11 @@ def test_many_slices_are_not_broadcast(spark, monkeypatch):
         assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_stage_joins_few_parts_of_a_run(spark):
+    """Each sorted side of a join keeps memory in every task of its stage, so one plan must not hold them all."""
+    data = Tables(session.configure(spark), "/root/testdata/sf0.001")
+    df = run_features(run_tables(data) | {"file_metrics": data["file_metrics"]}, settings=Settings(fetch_all=False, fetch_sloc=True))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 8
+    assert df.count() == data["runs"].count()
