@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contract.case import Tables
 from contract.text_cases import run_tables
 from runlore import session
-from runlore.operators import ordered
+from runlore.operators import jobs, ordered
 from runlore.plans.run_features import run_features
 from runlore.plans.settings import Settings
 
@@ -59,6 +59,29 @@ def test_many_slices_are_not_broadcast(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_job_steps_do_not_travel_unless_asked_for(spark, table):
+    """What features take from the steps is taken before the exchange; rows are those of the steps themselves."""
+    step = lambda name, how: {"name": name, "conclusion": how, "started_at": None, "completed_at": None}
+    listed = [{"repository": "o/a", "job_id": i, "run_id": 1, "name": "j", "steps": s} for i, s in enumerate([
+        [step("Set up", "success"), step("Run pytest", "failure")], [], None, [step("x", "success")],
+    ])]
+    known = table("jobs", listed)
+    enriched = jobs.job_with_run(known, table("runs", [{"repository": "o/a", "run_id": 1, "head_branch": "main"}]))
+    base = jobs.job_base(enriched, table("workflows", []))
+    assert {r.job_id: r.step_count for r in base.collect()} == {0: 2, 1: 0, 2: 0, 3: 1}
+    facts = spark.createDataFrame(
+        [("o/a", i, None, 0, None, None, [], True) for i in range(4)],
+        "repository string, job_id bigint, error_reason string, log_warn_nums bigint, operation_system string, runner_image string,"
+        " actions array<struct<action:string,sha:string>>, has_text boolean",
+    )
+    previous = spark.createDataFrame([], "repository string, job_id bigint, prev_job_id bigint")
+    dated = enriched.withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    found = jobs.job_diagnostics(dated, facts, previous, table("repositories", [{"repository": "o/a", "default_branch": "main"}]))
+    assert {r.job_id: r.gh_first_error_step for r in found.collect()} == {0: "test", 1: None, 2: None, 3: None}
+    below = [line for line in base.drop("steps")._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)[0].splitlines()]
+    assert not any("steps#" in line for line in below)
+
+
 def test_one_stage_joins_few_parts_of_a_run(spark):
     """Each sorted side of a join keeps memory in every task of its stage, so one plan must not hold them all."""
     data = Tables(session.configure(spark), "/root/testdata/sf0.001")
