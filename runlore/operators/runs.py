@@ -207,38 +207,42 @@ def workflow_names(runs: DataFrame, workflows: DataFrame, spread: bool = False)
 
 def job_summary(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Ids, details and number of a run's jobs, and whether a job or step looks like a test."""
-    text = "cast({} as string)"
     step = (
         "struct(s.name as step_name, s.conclusion as step_conclusion, "
-        f"{text.format('s.started_at')} as step_start, {text.format('s.completed_at')} as step_end, "
+        "cast(s.started_at as string) as step_start, cast(s.completed_at as string) as step_end, "
         "cast(null as double) as step_duration)"
     )
-    detail = F.struct(
-        "job_id",
-        F.col("name").alias("job_name"),
-        F.col("started_at").cast("string").alias("job_start"),
-        F.col("completed_at").cast("string").alias("job_end"),
-        F.lit(None).cast("double").alias("job_duration"),
-        F.col("conclusion").alias("job_result"),
-        F.expr(f"transform(coalesce(steps, array()), s -> {step})").alias("steps"),
+
+    detail = (
+        "struct(j.job_id as job_id, j.name as job_name, cast(j.started_at as string) as job_start, "
+        "cast(j.completed_at as string) as job_end, cast(null as double) as job_duration, j.conclusion as job_result, "
+        f"transform(coalesce(j.steps, array()), s -> {step}) as steps)"
     )
     tested = F.lower("name").contains("test") | F.exists(
         F.coalesce("steps", F.array().cast(jobs.schema["steps"].dataType)),
         lambda s: F.coalesce(F.lower(s["name"]).contains("test"), F.lit(False)),
     )
-    per_run = jobs.groupBy(*RUN_KEY).agg(
-        F.array_sort(F.collect_list(detail)).alias("__jobs"),
-        F.bool_or(F.coalesce(tested, F.lit(False))).alias("__tested"),
+    # ids and details are lists of their own, so that details travel only where they are asked for, and as they
+    # are stored; texts are made of them after the exchange
+    per_run = (
+        jobs.select(*RUN_KEY, "job_id", "name", "started_at", "completed_at", "conclusion", "steps", F.coalesce(tested, F.lit(False)).alias("__test"))
+        .groupBy(*RUN_KEY)
+        .agg(
+            F.array_sort(F.collect_list(F.struct("job_id"))).alias("__ids"),
+            F.collect_list(F.struct("job_id", "name", "started_at", "completed_at", "conclusion", "steps")).alias("__jobs"),
+            F.bool_or("__test").alias("__tested"),
+        )
     )
-    listed = F.coalesce(F.size("__jobs"), F.lit(0)).cast("long")
+    listed = F.coalesce(F.size("__ids"), F.lit(0)).cast("long")
+    details = F.expr(f"array_sort(transform(__jobs, j -> {detail}))")
     return (
         runs.select(*RUN_KEY)
         .join(per_run, RUN_KEY, "left")
         .select(
             *RUN_KEY,
-            F.coalesce(F.col("__jobs.job_id"), F.array().cast("array<bigint>")).alias("gh_job_id"),
+            F.coalesce(F.col("__ids.job_id"), F.array().cast("array<bigint>")).alias("gh_job_id"),
             listed.alias("total_jobs"),
-            F.transform("__jobs", lambda j: j.dropFields("job_id")).alias("job_details"),
+            F.transform(details, lambda j: j.dropFields("job_id")).alias("job_details"),
             F.greatest(listed, F.lit(1)).cast("long").alias("concurrent_jobs"),
             F.coalesce("__tested", F.lit(False)).alias("tests_ran"),
         )
