@@ -1,8 +1,11 @@
-"""The jobs of a run."""
+"""The jobs of a run, and times of payloads."""
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from runlore.operators.runs import job_summary
+from runlore.sources.payloads import utc_time
 
 AT = dt.datetime(2024, 1, 5, 10, 0, 0)
 
@@ -43,3 +46,14 @@ def test_details_travel_only_when_they_are_asked_for(table):
     # and then the times as they are, not as texts
     whole = _aggregate(job_summary(*_rows(table)))
     assert "started_at" in whole and "as string" not in whole
+
+
+def test_plain_times_and_others(spark):
+    texts = [
+        "2024-01-05T10:00:00Z", "2024-01-05T10:00:00.123Z", " 2024-01-05T10:00:00Z ", "2024-01-05T10:00:00", "2024-01-05",
+        "2024-01-05 10:00:00", "2024-01-05T12:00:00+02:00", None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(F.unix_micros(utc_time(F.col("t")))).collect()]
+    at = 1704448800000000
+    assert got == [at, at + 123000, at, at, at - 36000000000, at, at, None]
