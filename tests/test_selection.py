@@ -229,3 +229,15 @@ def test_large_selections_give_the_rows_of_small_ones(data, monkeypatch):
     wide = run_features(runs, some).drop("job_details")
     assert order(wide) == settled
     assert not {"log", "content", "patch"} & _exchanged(wide)
+
+
+def test_entities_are_picked_once(data, monkeypatch):
+    """Extraction reads its selection many times, so what it hands on is stored and not joined again."""
+    handed = []
+    monkeypatch.setitem(extract.__globals__, "job_features", lambda tables, selected, settings: handed.append(selected) or plan.job_features(tables, selected, settings))
+    listed = data["jobs"].select("repository", F.col("job_id").cast("string").alias("job_id"), F.lit(0).cast("bigint").alias("collected"))
+    want = listed.filter("repository = 'org/r2'").count()
+    out = extract(listed, job_tables(data), "job", ["org/r2"])
+    assert out.filter("collected = 1").count() == want == handed[0].count()
+    shown = handed[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in shown and "Aggregate" not in shown
