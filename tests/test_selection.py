@@ -241,3 +241,11 @@ def test_entities_are_picked_once(data, monkeypatch):
     assert out.filter("collected = 1").count() == want == handed[0].count()
     shown = handed[0]._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in shown and "Aggregate" not in shown
+
+
+def test_a_derived_log_is_tested_once(spark):
+    """A condition on a log that is derived makes the log again, so there is one; marks are found as they stand."""
+    logs = spark.range(4).selectExpr("'r' as repository", "id as job_id", "CASE id WHEN 0 THEN '' WHEN 1 THEN 'x]) [warn] warn: [WARNING]' WHEN 2 THEN repeat('Deprecated', 3) END as log")
+    facts = jobs.log_facts(logs)
+    assert {r.job_id: r.log_warn_nums for r in facts.collect()} == {1: 3, 2: 3}
+    assert facts._jdf.queryExecution().optimizedPlan().toString().split("Filter ")[1].split("\n")[0].count("CASE") <= 1
