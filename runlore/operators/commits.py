@@ -10,6 +10,7 @@ from runlore.functions.rules import commit_kind
 from runlore.functions.values import DAY, micros, word_count
 from runlore.operators.ordered import NO_CUTS, Cuts, asof_sums, previous_row
 from runlore.operators.runs import RUN_KEY
+from runlore.session import cut_lineage
 
 
 def base_commit(runs: DataFrame, commits: DataFrame) -> DataFrame:
@@ -76,7 +77,9 @@ def same_files_as_previous(
     paired = previous_row(
         narrow, ["repository", "head_branch"], ["created_at", "run_id"], ["head_sha"], "__p",
         cuts=cuts, target_rows=target_rows,
-    ).withColumn("__prev", F.col("__p.head_sha"))
+    )
+    # the runs are read for the pairs and for the result, and put in order once
+    paired = cut_lineage(paired.select(*RUN_KEY, "head_sha", F.col("__p.head_sha").alias("__prev")))
     # many runs share a pair of commits, so each pair is compared once
     pairs = (
         paired.filter(F.col("head_sha").isNotNull() & F.col("__prev").isNotNull())

@@ -261,17 +261,19 @@ def previous_row(
     w = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.withColumn(name, F.last(payload, ignorenulls=True).over(w))
     point = F.when(payload.isNotNull(), F.struct(*order))
+    # rows of other groups go after the exchange, which is then the one that the window reads
     last = (
-        sliced.filter(_HOT)
-        .groupBy(*keys, _SLICE)
-        .agg(F.max_by(payload, point).alias(_LAST))
+        sliced.groupBy(*keys, _SLICE)
+        .agg(F.max_by(payload, point).alias(_LAST), F.max(_HOT).alias(_HOT))
+        .filter(_HOT)
         .select(*_carry_keys(keys), _LAST)
     )
     earlier = _carry_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     carry = last.withColumn(_LAST, F.last(_LAST, ignorenulls=True).over(earlier))
     return (
         _with_carry(local, carry, keys, cuts)
-        .withColumn(name, F.coalesce(name, _LAST))
+        # only hot groups have a carry row; asking once more lets both sides have the same columns, so one exchange
+        .withColumn(name, F.coalesce(name, F.when(F.col(_HOT), F.col(_LAST))))
         .drop(_HOT, _SLICE, _LAST)
     )
 
