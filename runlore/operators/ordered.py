@@ -67,9 +67,14 @@ def _sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
 
 
+def too_large(rows: int | None, target_rows: int | None = None) -> bool:
+    """Whether a group of so many rows is too large for one task."""
+    return (rows or 0) > _target(target_rows)
+
+
 def has_hot_group(df: DataFrame, keys: Sequence[str], target_rows: int | None = None) -> bool:
     """Whether some group is too large for one task. Finer groups are hot only where these are."""
-    return (_sizes(df, keys).agg(F.max("__n")).first()[0] or 0) > _target(target_rows)
+    return too_large(_sizes(df, keys).agg(F.max("__n")).first()[0], target_rows)
 
 
 def find_cuts(

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlore.functions.values import DAY, WEEK, micros
-from runlore.operators.ordered import Cuts, asof_sums, join_facts
+from runlore.operators.ordered import NO_CUTS, Cuts, asof_sums, join_facts, too_large
 from runlore.operators.runs import RUN_KEY, repository_cuts, with_actor
+from runlore.session import cut_lineage
 
 # Conclusions that count as finished, and the size of the latest slice.
 FINISHED = ("success", "failure")
@@ -119,21 +120,24 @@ def cross_project_experience(
     )
 
 
-def run_file_touches(runs: DataFrame, run_commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """One row per (run, commit, file) of the runs that have a conclusion."""
+def _touching_runs(runs: DataFrame, run_commits: DataFrame) -> DataFrame:
+    """One row per (run, commit) of the runs that have a conclusion."""
     return (
         runs.filter(F.col("conclusion").isNotNull() & (F.col("conclusion") != "") & F.col("created_at").isNotNull())
         .select(*RUN_KEY, micros("created_at").alias("__at"), (F.col("conclusion") == "failure").cast("int").alias("__bad"))
         .join(run_commits, RUN_KEY)
-        .join(
-            commit_files.filter(F.col("filename").isNotNull() & (F.col("filename") != "")).select(
-                "repository", "sha", "filename"
-            ),
-            ["repository", "sha"],
-        )
     )
 
 
+def _named_files(commit_files: DataFrame) -> DataFrame:
+    return commit_files.filter(F.col("filename").isNotNull() & (F.col("filename") != "")).select("repository", "sha", "filename")
+
+
+def run_file_touches(runs: DataFrame, run_commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """One row per (run, commit, file) of the runs that have a conclusion."""
+    return _touching_runs(runs, run_commits).join(_named_files(commit_files), ["repository", "sha"])
+
+
 def _hot(total: Column, failures: Column, min_total: int, min_rate: float) -> Column:
     return (total >= min_total) & (failures * 100.0 / total >= min_rate)
 
@@ -175,24 +179,44 @@ def hotspot_touched(
     if cuts is None:
         # a file is touched at most once per commit of a run
         cuts = repository_cuts(runs, run_commits, target_rows=target_rows)
-    touches = run_file_touches(context, run_commits, commit_files)
-    # A file that never reaches the limits over all time cannot reach them in any window.
-    totals = touches.groupBy("repository", "filename").agg(
-        F.count(F.lit(1)).alias("__all"), F.sum("__bad").alias("__all_bad")
+    touching = _touching_runs(context, run_commits)
+    probing = runs.filter(F.col("created_at").isNotNull()).select(
+        "repository", "run_id", F.col("head_sha").alias("sha"), micros("created_at").alias("__at")
+    )
+    # How often a commit's files are touched and asked for, counted by commit before its files are joined.
+    none = F.lit(0)
+    weights = (
+        touching.select("repository", "sha", F.lit(1).alias("__n"), "__bad", none.alias("__p"))
+        .unionByName(probing.select("repository", "sha", none.alias("__n"), none.alias("__bad"), F.lit(1).alias("__p")))
+        .groupBy("repository", "sha")
+        .agg(*[F.sum(c).alias(c) for c in ("__n", "__bad", "__p")])
     )
+    files = (
+        _named_files(commit_files)
+        .join(weights, ["repository", "sha"])
+        .groupBy("repository", "sha", "filename", "__n", "__bad", "__p")
+        .agg(F.count(F.lit(1)).alias("__copies"))
+    )
+    # read for the totals, the touches and the files that are asked for
+    files = cut_lineage(files)
+    totals = files.groupBy("repository", "filename").agg(
+        F.sum(F.col("__copies") * F.col("__n")).alias("__all"),
+        F.sum(F.col("__copies") * F.col("__bad")).alias("__all_bad"),
+        F.sum(F.col("__n") + 2 * F.col("__p")).alias("__rows"),
+    )
+    # A file that never reaches the limits over all time cannot reach them in any window.
     candidates = totals.filter(
-        (F.col("__all") >= min_total) & ((F.col("__all_bad") > 0) | F.lit(min_rate <= 0))
-    ).select("repository", "filename")
-    events = touches.join(candidates, ["repository", "filename"], "left_semi")
-    probes = (
-        runs.filter(F.col("created_at").isNotNull())
-        .select("repository", "run_id", F.col("head_sha").alias("sha"), micros("created_at").alias("__at"))
-        .join(commit_files.select("repository", "sha", "filename").distinct(), ["repository", "sha"])
-        .join(candidates, ["repository", "filename"], "left_semi")
+        (F.col("__all") > 0) & (F.col("__all") >= min_total) & ((F.col("__all_bad") > 0) | F.lit(min_rate <= 0))
     )
+    if cuts is None and not too_large(candidates.agg(F.max("__rows")).first()[0], target_rows):
+        # the repository is hot, but what is put in order are its files
+        cuts = NO_CUTS
+    kept = files.join(candidates.select("repository", "filename"), ["repository", "filename"], "left_semi")
+    events = touching.join(kept.select("repository", "sha", "filename", "__copies"), ["repository", "sha"])
+    probes = probing.join(kept.select("repository", "sha", "filename"), ["repository", "sha"])
     counted = asof_sums(
         events,
-        {"total": F.lit(1), "failures": F.col("__bad")},
+        {"total": F.col("__copies"), "failures": F.col("__copies") * F.col("__bad")},
         probes,
         {"hi": (F.col("__at"), True), "lo": (F.col("__at") - days * DAY, False)},
         levels={"all": ["repository", "filename"]},

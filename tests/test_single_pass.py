@@ -2,7 +2,7 @@
 
 from datetime import datetime, timedelta
 
-from runlore.operators import commits, ordered
+from runlore.operators import commits, ordered, slices
 
 START = datetime(2024, 1, 1)
 
@@ -39,3 +39,32 @@ def test_the_exchange_of_slices_serves_the_carry_rows(spark, table):
     # both sides have the same columns: rows are not left out before they are exchanged
     sides = [s.split("\n")[1] for s in out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1:]]
     assert len(sides) == 2 and not any("Filter" in s for s in sides)
+
+
+def hot_by_hand(rows, files, days=30):
+    touched = {}
+    for f in files:
+        touched.setdefault(f["sha"], []).append(f["filename"])
+    events = [(r["created_at"], f, r["conclusion"] == "failure") for r in rows for f in touched[r["head_sha"]] if f]
+    out = set()
+    for r in rows:
+        for f in set(touched[r["head_sha"]]):
+            near = [bad for at, g, bad in events if g == f and r["created_at"] - timedelta(days=days) <= at <= r["created_at"]]
+            if len(near) >= 5 and sum(near) * 100 / len(near) >= 20:
+                out.add(r["run_id"])
+    return out
+
+
+def test_a_hot_repository_with_small_files_is_not_split(spark, table, monkeypatch):
+    rows, files = run_rows(200)
+    runs, commit_files = table("runs", rows), table("commit_files", files)
+    own = runs.select("repository", "run_id", runs.head_sha.alias("sha"))
+    given, sums = [], slices.asof_sums
+    monkeypatch.setattr(slices, "asof_sums", lambda *a, **k: given.append(k["cuts"]) or sums(*a, **k))
+    # the repository has 200 runs, a file at most 24 touches and 2 * 16 points at which they are read
+    out = slices.hotspot_touched(runs, runs, own, commit_files, target_rows=100)
+    assert given == [ordered.NO_CUTS]
+    want = hot_by_hand(rows, files)
+    assert want and {r.run_id for r in out.collect()} == want
+    split = slices.hotspot_touched(runs, runs, own, commit_files, target_rows=20)
+    assert given[1] is None and {r.run_id for r in split.collect()} == want
