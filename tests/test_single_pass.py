@@ -2,7 +2,9 @@
 
 from datetime import datetime, timedelta
 
-from runlore.operators import commits, ordered, slices
+from contract import CASES, source_cases
+from contract.case import Tables
+from runlore.operators import changes, commits, ordered, repositories, slices
 
 START = datetime(2024, 1, 1)
 
@@ -68,3 +70,23 @@ def test_a_hot_repository_with_small_files_is_not_split(spark, table, monkeypatc
     assert want and {r.run_id for r in out.collect()} == want
     split = slices.hotspot_touched(runs, runs, own, commit_files, target_rows=20)
     assert given[1] is None and {r.run_id for r in split.collect()} == want
+
+
+def test_manifests_are_counted_once(spark, table):
+    commits_ = table("commits", [{"repository": "o/a", "sha": f"c{i}", "parent_sha": f"c{i - 1}" if i else None} for i in range(4)])
+    contents = [{"repository": "o/a", "sha": f"c{i}", "path": "pom.xml", "content": "<dependency>" * n} for i, n in enumerate((1, 1, 3, 2))]
+    out = changes.dependency_changes(commits_, repositories.manifest_counts(table("file_contents", contents)))
+    # the counts are stored: no text is read for either side of a pair
+    assert "content" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.sha: (r.gh_dependencies_churn, r.dependencies_count) for r in out.collect()} == {"c1": (0, 1), "c2": (1, 3), "c3": (1, 2)}
+
+
+def test_runs_arrive_in_as_many_files_as_they_are_read_in(spark, table, monkeypatch, tmp_path):
+    rows, _ = run_rows(40)
+    runs = table("runs", [r | {"event": "push" if r["run_id"] % 4 else "other"} for r in rows]).repartition(4, "run_id")
+    monkeypatch.setattr(source_cases, "_folder", lambda t, name: str(tmp_path / name))
+    out = CASES["f1_streamed_history"].build(Tables(spark, "", {"runs": runs}))
+    # two batches; one file each would be written and read by one task
+    assert len(list((tmp_path / "runs").glob("*.parquet"))) > 2
+    want = {r["run_id"]: r["conclusion"] + ("!" if r["run_id"] % 4 else "") for r in rows}
+    assert {r.run_id: r.conclusion for r in out.collect()} == want
