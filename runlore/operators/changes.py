@@ -18,6 +18,7 @@ from runlore.functions.files import (
     lines_deleted,
     top_directory,
 )
+from runlore.session import cut_lineage
 
 COMMIT_KEY = ["repository", "sha"]
 
@@ -220,6 +221,8 @@ def symbol_diff(commits: DataFrame, commit_files: DataFrame, java_symbols: DataF
 
 def dependency_changes(commits: DataFrame, manifest_counts: DataFrame) -> DataFrame:
     """Per commit: manifests whose dependency count differs from the parent's, and the total count."""
+    # read for both sides; made from texts, the counts cost more than their storage
+    manifest_counts = cut_lineage(manifest_counts.select("repository", "sha", "path", "n"))
     head = manifest_counts.select("repository", F.col("sha").alias("head"), "path", F.col("n").alias("__now"))
     base = manifest_counts.select("repository", F.col("sha").alias("base"), "path", F.col("n").alias("__before"))
     compared = (
