@@ -103,3 +103,13 @@ def test_split_job_features_are_joined_from_stored_parts(tables, monkeypatch):
     # the columns of workflows come to the rows, which are not dealt out by salts
     assert not {"__salt", "actions", "prev_actions"} & _exchanged(out)
     assert compared(out.collect()) == WANT
+
+
+
+def test_diagnostics_store_their_parts(tables):
+    """The exchanges of the comparison and of the flags are gone before the parts are joined."""
+    facts = jobs.log_facts(tables["job_logs"])
+    enriched = jobs.job_with_run(tables["jobs"], tables["runs"])
+    out = jobs.job_diagnostics(enriched, facts, jobs.previous_jobs(tables["jobs"], tables["runs"]), tables["repositories"])
+    assert not {"actions", "prev_actions", "prev_job_id"} & _exchanged(out)
+    assert compared(out.collect()) == WANT
