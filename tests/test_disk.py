@@ -113,3 +113,12 @@ def test_diagnostics_store_their_parts(tables):
     out = jobs.job_diagnostics(enriched, facts, jobs.previous_jobs(tables["jobs"], tables["runs"]), tables["repositories"])
     assert not {"actions", "prev_actions", "prev_job_id"} & _exchanged(out)
     assert compared(out.collect()) == WANT
+
+
+
+def test_previous_jobs_are_stored_before_facts_are_compared(tables):
+    facts = session.cut_lineage(jobs.log_facts(tables["job_logs"]))
+    out = jobs.changes_since_previous(facts, jobs.previous_jobs(tables["jobs"], tables["runs"]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    assert compared(out.collect()) == WANT
