@@ -241,11 +241,14 @@ def commit_change_features(
     manifest_counts: DataFrame,
     case_insensitive_docker: bool = False,
 ) -> DataFrame:
-    """All change columns of each commit that has a parent; what a commit does not have is 0."""
+    """All change columns of each commit that has a parent; what a commit does not have is 0.
+
+    The parts are stored one after the other, so the disk holds the exchanges of one of them at a time.
+    """
     with_parent = _commit_pairs(commits).select("repository", F.col("head").alias("sha"))
     joined = (
-        with_parent.join(diff_stats(commit_files, case_insensitive_docker), COMMIT_KEY, "left")
-        .join(symbol_diff(commits, commit_files, java_symbols), COMMIT_KEY, "left")
-        .join(dependency_changes(commits, manifest_counts), COMMIT_KEY, "left")
+        with_parent.join(cut_lineage(diff_stats(commit_files, case_insensitive_docker)), COMMIT_KEY, "left")
+        .join(cut_lineage(symbol_diff(commits, commit_files, java_symbols)), COMMIT_KEY, "left")
+        .join(cut_lineage(dependency_changes(commits, manifest_counts)), COMMIT_KEY, "left")
     )
     return joined.na.fill(0)

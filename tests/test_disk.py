@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlore import session
-from runlore.operators import jobs, ordered
+from runlore.operators import changes, jobs, ordered, repositories
 from runlore.plans.job_features import job_features
 from runlore.plans.settings import Settings
 from tests.test_selection import _exchanged
@@ -122,3 +122,16 @@ def test_previous_jobs_are_stored_before_facts_are_compared(tables):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan
     assert compared(out.collect()) == WANT
+
+
+
+def test_changes_of_a_commit_are_joined_from_stored_parts(table):
+    known = table("commits", [{"repository": "o/a", "sha": f"c{i}", "parent_sha": f"c{i - 1}" if i else None} for i in range(3)])
+    files = table("commit_files", [{"repository": "o/a", "sha": f"c{i}", "filename": "A.java", "status": "M", "patch": "+x\n" * i} for i in range(3)])
+    symbols = table("java_symbols", [{"repository": "o/a", "sha": f"c{i}", "path": "A.java", "kind": "class", "name": f"C{n}", "position": n} for i in range(3) for n in range(i + 1)])
+    contents = table("file_contents", [{"repository": "o/a", "sha": f"c{i}", "path": "pom.xml", "content": "<dependency>" * (i + 1)} for i in range(3)])
+    out = changes.commit_change_features(known, files, symbols, repositories.manifest_counts(contents))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "patch" not in plan
+    got = {r.sha: (r.gh_lines_added, r.ast_class_added, r.gh_dependencies_churn) for r in out.collect()}
+    assert got == {"c1": (1, 1, 1), "c2": (2, 1, 1)}
