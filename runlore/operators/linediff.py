@@ -95,8 +95,9 @@ def content_changes(commits: DataFrame, file_contents: DataFrame, limit: int | N
         *_FILE, F.xxhash64("content", F.length("content")).alias("hash"),
         F.coalesce(hashed, F.array().cast("array<long>")).alias("lines"),
     )
-    texts = texts.join(versions.distinct(), [*_FILE, "hash"]).groupBy(*_FILE).agg(F.min("lines").alias("lines"))
-    compared = (
+    # read for both sides; made from texts, and exchanged to be made, twice otherwise
+    texts = cut_lineage(texts.join(versions.distinct(), [*_FILE, "hash"]).groupBy(*_FILE).agg(F.min("lines").alias("lines")))
+    compared = cut_lineage(
         modified.select(*side)
         .join(texts.withColumnRenamed("lines", "ours"), _FILE)
         .join(texts.withColumnsRenamed({"sha": "parent_sha", "lines": "theirs"}), ["repository", "parent_sha", "path"])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlore import session
-from runlore.operators import changes, jobs, ordered, repositories
+from runlore.operators import changes, jobs, linediff, ordered, repositories
 from runlore.plans.job_features import job_features
 from runlore.plans.settings import Settings
 from tests.test_selection import _exchanged
@@ -135,3 +135,16 @@ def test_changes_of_a_commit_are_joined_from_stored_parts(table):
     assert "Aggregate" not in plan and "patch" not in plan
     got = {r.sha: (r.gh_lines_added, r.ast_class_added, r.gh_dependencies_churn) for r in out.collect()}
     assert got == {"c1": (1, 1, 1), "c2": (2, 1, 1)}
+
+
+
+def test_lines_of_both_sides_are_made_once(table, monkeypatch):
+    known = table("commits", [{"repository": "o/a", "sha": f"c{i}", "parent_sha": f"c{i - 1}" if i else None} for i in range(3)])
+    contents = table("file_contents", [{"repository": "o/a", "sha": f"c{i}", "path": "a", "content": "".join(f"{n}\n" for n in range(i, 4))} for i in range(3)])
+    stored, cut = [], linediff.cut_lineage
+    monkeypatch.setattr(linediff, "cut_lineage", lambda df: stored.append(df) or cut(df))
+    out = linediff.content_changes(known, contents)
+    # the texts are read for the two tables of versions only; what compares them reads their stored lines
+    assert "content" in stored[-2]._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("content" in x._jdf.queryExecution().optimizedPlan().toString() for x in (stored[-1], out))
+    assert {r.sha: (r.status, r.added, r.deleted) for r in out.collect()} == {"c1": ("M", 0, 1), "c2": ("M", 0, 1)}
