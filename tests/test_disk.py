@@ -148,3 +148,18 @@ def test_lines_of_both_sides_are_made_once(table, monkeypatch):
     assert "content" in stored[-2]._jdf.queryExecution().optimizedPlan().toString()
     assert not any("content" in x._jdf.queryExecution().optimizedPlan().toString() for x in (stored[-1], out))
     assert {r.sha: (r.status, r.added, r.deleted) for r in out.collect()} == {"c1": ("M", 0, 1), "c2": ("M", 0, 1)}
+
+
+
+def test_ids_that_are_keys_travel_once(spark):
+    events = spark.createDataFrame([("a", "x", 1), ("a", "x", 5), (None, "x", 2)], "k string, f string, at long")
+    probes = spark.createDataFrame([("a", "x", 1, 4), ("a", "x", 2, 9), (None, "x", 3, 9), ("b", "x", 4, 9)], "k string, f string, id long, until long")
+    for target in (100, 1):
+        out = ordered.asof_sums(
+            events, {"n": F.lit(1)}, probes, {"hi": (F.col("until"), True)},
+            levels={"all": ["k", "f"]}, ids=["k", "id", "f"], at="at", target_rows=target,
+        )
+        assert not {"__id_k", "__id_f"} & _exchanged(out)
+        assert sorted(map(str, out.collect())) == sorted(
+            f"Row(k={k!r}, id={i}, f='x', hi_all_n={n})" for k, i, n in (("a", 1, 1), ("a", 2, 2), (None, 3, 1), ("b", 4, 0))
+        )
