@@ -97,7 +97,7 @@ def content_changes(commits: DataFrame, file_contents: DataFrame, limit: int | N
     )
     # read for both sides; made from texts, and exchanged to be made, twice otherwise
     texts = cut_lineage(texts.join(versions.distinct(), [*_FILE, "hash"]).groupBy(*_FILE).agg(F.min("lines").alias("lines")))
-    compared = cut_lineage(
+    compared = (
         modified.select(*side)
         .join(texts.withColumnRenamed("lines", "ours"), _FILE)
         .join(texts.withColumnsRenamed({"sha": "parent_sha", "lines": "theirs"}), ["repository", "parent_sha", "path"])
